@@ -36,7 +36,7 @@ def rows_with_close_neighbour(
         .agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
     )
     overlapping = F.window(
-        "second", f"{stretch + 2 * reach} seconds", f"{stretch} seconds", f"{-reach} seconds"
+        "second", f"{stretch + 2 * reach} seconds", f"{stretch} seconds", f"{-reach % stretch} seconds"
     )
     in_order = Window.partitionBy(key, "stretch").orderBy("second")
     gap = seconds(reach)
