@@ -172,7 +172,7 @@ def customer_batch(w):
     """Suppliers signing up: in ASIA with one shared address per city, elsewhere with a customer's."""
     own = F.concat(F.lit("customer."), F.substring("store_name", 10, 20), F.lit("@example.com"))
     shared = F.concat(F.lit("desk."), F.lower("city"), F.lit("@example.com"))
-    return w.stores().select(
+    return w.stores(with_city=True).select(
         F.col("store_name").alias("name"),
         F.when(F.col("region") == "ASIA", shared).otherwise(own).alias("email"),
         "city",

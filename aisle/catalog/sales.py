@@ -196,7 +196,7 @@ GROUP BY s.store_id, s.store_name, s.city, s.region
 """)
 def store_performance(w):
     """Two days only, so that some stores have no sale and must still appear."""
-    return sales.store_performance(w.stores(), filters.between_dates(w.completed(), START, "2000-01-02"))
+    return sales.store_performance(w.stores(with_city=True), filters.between_dates(w.completed(), START, "2000-01-02"))
 
 
 @query("""
@@ -208,14 +208,14 @@ GROUP BY store_id, store_name, city, region
 ORDER BY SUM(total_amount) DESC, store_id LIMIT 5
 """)
 def summary_top_stores(w):
-    return sales.summary_top_stores(w.completed(), w.stores(), START, END)
+    return sales.summary_top_stores(w.completed(), w.stores(with_city=True), START, END)
 
 
 @query("SELECT store_id, store_name, city, region FROM stores")
 def store_listing(w):
     from aisle.sources.tables import listing
 
-    return listing(w.stores(), "stores")
+    return listing(w.stores(with_city=True), "stores")
 
 
 @query("""
@@ -285,13 +285,13 @@ FROM daily JOIN stores USING (store_id)
 
 @query(RUNNING_SQL + "WINDOW recent AS (PARTITION BY store_id ORDER BY sale_date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)")
 def running_total(w):
-    return ranking.running_total(w.completed(), w.stores())
+    return ranking.running_total(w.completed(), w.stores(with_city=True))
 
 
 @query(RUNNING_SQL + "WINDOW recent AS (PARTITION BY store_id ORDER BY sale_date "
        "RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)")
 def running_total_calendar(w):
-    return ranking.running_total(w.completed(), w.stores(), calendar=True)
+    return ranking.running_total(w.completed(), w.stores(with_city=True), calendar=True)
 
 
 SPENDING_SQL = """

@@ -22,23 +22,23 @@ class Checked(NamedTuple):
     rejected: DataFrame
 
 
-def _missing(columns: list[str]) -> list[tuple[Column, str]]:
-    return [(F.col(c).isNull(), f"missing {c}") for c in columns]
+def _check(batch: DataFrame, required: list[str], rules: list[tuple[Column, str]]) -> Checked:
+    """Split ``batch`` by required columns and failure rules; an absent column counts as missing.
 
-
-def _check(batch: DataFrame, required: list[str], rules: list[tuple[Column, str]]) -> DataFrame:
-    """``batch`` with ``problem``: NULL for a good row. An absent column counts as all missing."""
+    The accepting side is a plain conjunction, so each test can move down to the scan it belongs to.
+    """
     for column in required:
         if column not in batch.columns:
             batch = batch.withColumn(column, F.lit(None).cast("string"))
-    tests = _missing(required) + rules
-    problem = F.coalesce(*[F.when(test, message) for test, message in tests])
-    return batch.withColumn("problem", problem)
-
-
-def _split(checked: DataFrame) -> Checked:
-    good = checked.filter(F.col("problem").isNull()).drop("problem")
-    return Checked(good, checked.filter(F.col("problem").isNotNull()))
+    good = F.lit(True)
+    for column in required:
+        good = good & F.col(column).isNotNull()
+    for fails, _ in rules:
+        good = good & ~fails
+    tests = [(F.col(c).isNull(), f"missing {c}") for c in required] + rules
+    problem = F.coalesce(*[F.when(fails, message) for fails, message in tests])
+    rejected = batch.withColumn("problem", problem).filter(F.col("problem").isNotNull())
+    return Checked(batch.filter(good), rejected)
 
 
 def _or_default(df: DataFrame, column: str, value: Column) -> Column:
@@ -59,7 +59,7 @@ def append_transactions(batch: DataFrame, at: Column | None = None) -> Checked:
     else now. Ids are the batch's own if it has them.
     """
     required = ["customer_id", "product_id", "store_id", "employee_id", "quantity", "unit_price", "payment_method"]
-    checked = _check(
+    good, bad = _check(
         batch,
         required,
         [
@@ -68,7 +68,6 @@ def append_transactions(batch: DataFrame, at: Column | None = None) -> Checked:
             (~F.col("payment_method").isin(*PAYMENT_METHODS), "unknown payment_method"),
         ],
     )
-    good, bad = _split(checked)
     now = at if at is not None else F.localtimestamp()
     price = F.col("unit_price").cast(PRICE)
     accepted = good.select(
@@ -89,8 +88,7 @@ def append_transactions(batch: DataFrame, at: Column | None = None) -> Checked:
 
 def append_products(batch: DataFrame, at: Column | None = None) -> Checked:
     """Products to add. Stock and reorder level fall back to 0 and 10 where NULL."""
-    checked = _check(batch, ["product_name", "category_id", "price"], [])
-    good, bad = _split(checked)
+    good, bad = _check(batch, ["product_name", "category_id", "price"], [])
     now = at if at is not None else F.localtimestamp()
     accepted = good.select(
         *[c for c in ("product_id",) if c in good.columns],
@@ -110,8 +108,7 @@ def append_customers(batch: DataFrame, customers: DataFrame, at: Column | None =
     Of several rows with one e-mail the smallest (name, phone, ...) is kept, whatever the row order;
     the others are rejected once each distinct row, like those already stored.
     """
-    checked = _check(batch, ["name", "email"], [])
-    good, bad = _split(checked)
+    good, bad = _check(batch, ["name", "email"], [])
     now = at if at is not None else F.localtimestamp()
     own = [c for c in ("customer_id",) if c in good.columns]
     filled = good.select(

@@ -7,6 +7,7 @@ The rules that look at one row are tested in a single scan. The rapid-succession
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from aisle.plans.neighbours import rows_with_close_neighbour
 from aisle.plans.positions import positions
 from aisle.plans.sequences import key_sequence
 from aisle.plans.sizes import KEY_ROWS
+from aisle.session import materialise
 
 HIGH_AMOUNT, RAPID, QUANTITY, LATE_NIGHT = "high_amount", "rapid", "quantity", "late_night"
 RULES = (HIGH_AMOUNT, RAPID, QUANTITY, LATE_NIGHT)  # in the order their flags are stored
@@ -106,7 +108,8 @@ def row_rule_flags(
     )
     return (
         transactions.filter(any_rule)
-        .select("transaction_id", "product_id", "quantity", F.explode(F.array_compact(found)).alias("flag"))
+        .select("transaction_id", "product_id", "quantity", F.explode(found).alias("flag"))
+        .filter(F.col("flag").isNotNull())
         .select("transaction_id", "flag.*", "product_id", "quantity")
     )
 
@@ -200,7 +203,12 @@ def new_flag_count(new_flags: DataFrame) -> DataFrame:
 
 
 def flag_rows(new_flags: DataFrame, flags: DataFrame, flagged_at: Column | None = None) -> DataFrame:
-    """New flags as rows to append: ids continue after the largest stored one."""
+    """New flags as rows to append: ids continue after the largest stored one.
+
+    The flags are stored first, as detecting them again for every step of the numbering would cost
+    more than writing them.
+    """
+    new_flags = materialise(new_flags)
     last = flags.agg(F.max("flag_id")).first()[0] or 0
     rank = F.array_position(F.array(*[F.lit(r) for r in RULES]), F.col("rule"))
     numbered = positions(
@@ -301,7 +309,7 @@ def fraud_analysis(
 
     The published view computes its windows after joining flags, so a transaction with two flags
     counts twice and its copy looks like an instant repeat; ``windows="before_flags"`` computes them
-    over transactions alone. Names are joined last, when rows are already grouped by customer.
+    over transactions alone. Names are joined last, the customer's where rows already lie by customer.
     """
     if windows not in ("after_flags", "before_flags"):
         raise ValueError("windows must be 'after_flags' or 'before_flags'")
@@ -320,27 +328,36 @@ def fraud_analysis(
     if windows == "after_flags":
         rows = rows.join(flag, "transaction_id", "left")
         tie_break = ["transaction_id", "flag_id"]
-    rows = key_sequence(
-        rows, "customer_id", "transaction_date", tie_break, "total_amount", rows=5, seconds=3600, key_limit=key_limit
-    )
     since_last = seconds_between(F.col("previous_ts"), F.col("transaction_date"))
-    rows = rows.withColumn("seconds_since_last", since_last).withColumn(
-        "fraud_indicator",
-        fraud_indicator(
-            F.col("total_amount"),
-            F.col("seconds_since_last"),
-            F.col("quantity"),
-            F.col("transaction_date"),
-            high_amount=limits.high_amount,
-            rapid_seconds=limits.rapid_seconds,
-            high_quantity=limits.quantity,
-            night_amount=limits.night_amount,
-            night_hours=limits.night_hours,
-        ),
+    indicator = fraud_indicator(
+        F.col("total_amount"),
+        F.col("seconds_since_last"),
+        F.col("quantity"),
+        F.col("transaction_date"),
+        high_amount=limits.high_amount,
+        rapid_seconds=limits.rapid_seconds,
+        high_quantity=limits.quantity,
+        night_amount=limits.night_amount,
+        night_hours=limits.night_hours,
     )
-    if windows == "before_flags":
-        rows = rows.join(flag, "transaction_id", "left")
-    return _with_names(rows, customers, products, stores).withColumnsRenamed(
+    parts = key_sequence(
+        rows,
+        "customer_id",
+        "transaction_date",
+        tie_break,
+        "total_amount",
+        rows=5,
+        seconds=3600,
+        key_limit=key_limit,
+        count_in=transactions,
+    )
+    finished = []
+    for part in parts:
+        part = part.withColumn("seconds_since_last", since_last).withColumn("fraud_indicator", indicator)
+        if windows == "before_flags":
+            part = part.join(flag, "transaction_id", "left")
+        finished.append(_with_names(part, customers, products, stores))
+    return reduce(DataFrame.unionByName, finished).withColumnsRenamed(
         {
             "previous_ts": "prev_transaction_date",
             "previous_value": "prev_amount",

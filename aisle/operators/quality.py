@@ -73,18 +73,17 @@ def check_domains(
         (c, F.col(c).isNotNull() & ~F.col(c).isin(*values), "not allowed") for c, values in (allowed or {}).items()
     ]
     tests += [(c, F.length(c) > size, "too long") for c, size in (longest or {}).items()]
-    found = F.array_compact(
-        F.array(
-            *[
-                F.when(test, F.struct(F.lit(c).alias("column"), F.lit(problem).alias("problem")))
-                for c, test, problem in tests
-            ]
-        )
+    found = F.array(
+        *[
+            F.when(test, F.struct(F.lit(c).alias("column"), F.lit(problem).alias("problem")))
+            for c, test, problem in tests
+        ]
     )
     broken = F.lit(False)
     for _, test, _ in tests:
         broken = broken | test
-    return df.filter(broken).select(*df.columns, F.explode(found).alias("found")).select(*df.columns, "found.*")
+    exploded = df.filter(broken).select(*df.columns, F.explode(found).alias("found"))
+    return exploded.filter(F.col("found").isNotNull()).select(*df.columns, "found.*")
 
 
 def check_table(name: str, df: DataFrame) -> DataFrame:

@@ -89,20 +89,24 @@ def key_sequence(
     rows: int,
     seconds: int,
     key_limit: int | None = KEY_ROWS,
-) -> DataFrame:
-    """Add ADDED columns, taking keys above ``key_limit`` rows through the spread form.
+    count_in: DataFrame | None = None,
+) -> list[DataFrame]:
+    """``df`` with ADDED columns, as one part or, with keys above ``key_limit`` rows, two.
 
-    Finding such keys reads the key column once. ``key_limit=None`` skips that for data known to
-    have none.
+    The second part holds those keys in the spread form. They are counted by reading the key column
+    of ``count_in``, a table as cheap to read as possible (``df`` by default). ``key_limit=None``
+    skips that for data known to have none. Parts are left apart so that the first keeps its
+    partitioning by key for a following join.
     """
     arguments = (key, ts, tie_break, value, rows, seconds)
     if key_limit is None:
-        return plain_sequence(df, *arguments)
-    hot = hot_keys(df, key, key_limit)
+        return [plain_sequence(df, *arguments)]
+    hot = hot_keys(df if count_in is None else count_in, key, key_limit)
     count = hot.count()
     if count == 0:
-        return plain_sequence(df, *arguments)
+        return [plain_sequence(df, *arguments)]
+    hot = materialise(hot)
     if count <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     cold = plain_sequence(df.join(hot, key, "left_anti"), *arguments)
-    return cold.unionByName(spread_sequence(df.join(hot, key, "left_semi"), *arguments))
+    return [cold, spread_sequence(df.join(hot, key, "left_semi"), *arguments)]

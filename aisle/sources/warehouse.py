@@ -132,7 +132,13 @@ class Warehouse:
             F.col("p_type").alias("category_id"), F.col("p_type").alias("category_name")
         ).distinct()
 
-    def stores(self) -> DataFrame:
+    def stores(self, with_city: bool = False) -> DataFrame:
+        """Names alone unless asked: joined to raw transactions, a side that is itself a join is
+        estimated far too large and costs a shuffle of the transactions."""
+        if not with_city:
+            return self.raw("supplier").select(
+                F.col("s_suppkey").alias("store_id"), F.col("s_name").alias("store_name")
+            )
         nations, regions = self.raw("nation"), self.raw("region")
         return (
             self.raw("supplier")
