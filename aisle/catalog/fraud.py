@@ -87,6 +87,12 @@ def rule_rapid(w):
     return fraud.rule_rapid(w.events(), None, EVENT_LIMITS)
 
 
+@query(RULES_SQL + "SELECT * FROM rapid")
+def rule_rapid_crowded(w):
+    """The same rule with every customer treated as too large for one task."""
+    return fraud.rule_rapid(w.events(), None, EVENT_LIMITS, key_limit=0)
+
+
 @query("""
 SELECT transaction_id, 'quantity' AS rule, 'Unusual quantity: ' || quantity || ' units of "' || product_name
        || '" in single transaction' AS flag_reason, 'medium' AS severity

@@ -59,6 +59,12 @@ def rapid_arrivals(w):
     return arrivals.rapid_arrivals(w.events(), None, EVENT_LIMITS)
 
 
+@query(RAPID_SQL)
+def rapid_arrivals_crowded(w):
+    """The same with every customer treated as too large for one task."""
+    return arrivals.rapid_arrivals(w.events(), None, EVENT_LIMITS, key_limit=0)
+
+
 @query("""
 SELECT product_id, product_id AS store_id, 'sale' AS change_type, -quantity AS quantity_change,
        transaction_date AS log_date, 'Auto-logged from transaction #' || transaction_id AS notes

@@ -1,7 +1,7 @@
 """Fraud rules over stored transactions, flag reports and the per-customer analysis view.
 
-The rules that look at one row are tested in a single scan. The rapid-succession rule works on
-(customer, second) groups, see :mod:`aisle.plans.neighbours`.
+The rules that look at one row are tested in a single scan. The rapid-succession rule orders each
+customer's sales in time and treats very large customers apart, see :mod:`aisle.plans.neighbours`.
 """
 
 from __future__ import annotations
@@ -150,11 +150,16 @@ def rule_quantity(
 
 
 def rule_rapid(
-    transactions: DataFrame, flags: DataFrame | None = None, limits: Thresholds = DEFAULT
+    transactions: DataFrame,
+    flags: DataFrame | None = None,
+    limits: Thresholds = DEFAULT,
+    key_limit: int | None = KEY_ROWS,
 ) -> DataFrame:
     """Every completed sale with another of the same customer within the rapid window."""
     sales = completed_sales(transactions).select("transaction_id", "customer_id", "transaction_date")
-    close = rows_with_close_neighbour(sales, "customer_id", "transaction_date", limits.rapid_seconds)
+    close = rows_with_close_neighbour(
+        sales, "customer_id", "transaction_date", limits.rapid_seconds, key_limit
+    )
     found = close.select(
         "transaction_id",
         F.lit(RAPID).alias("rule"),

@@ -1,8 +1,8 @@
-"""Nearby-in-time tests per key, linear in the rows and bounded per task.
+"""Nearby-in-time tests per key, linear in the rows of a key.
 
-Comparing all pairs of one key is quadratic, and one window per key puts a busy key into one task.
-Both functions first reduce a key's rows to distinct instants or seconds (combined before the
-shuffle) and then window over (key, short stretch of time), so neither a busy key nor a busy instant
+Comparing all pairs of one key is quadratic. Keys of ordinary size are windowed in order of time. A
+key too large for one task is first reduced to distinct seconds or instants (combined before the
+shuffle) and then windowed over short stretches of time, so neither a busy key nor a busy instant
 can fill a task.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aisle.functions.dates import seconds
+from aisle.plans.sizes import KEY_ROWS, split_hot
 
 STRETCH_SECONDS = 3600
 
@@ -20,20 +21,42 @@ def _tumbling(ts: Column, width: int) -> Column:
     return F.window(ts, f"{width} seconds").getField("start")
 
 
+def _reach(within_seconds: int) -> Column:
+    """The truncated difference is <= n exactly when the true one is < n + 1."""
+    return seconds(within_seconds + 1)
+
+
 def rows_with_close_neighbour(
-    df: DataFrame, key: str, ts: str, within_seconds: int, stretch: int = STRETCH_SECONDS
+    df: DataFrame, key: str, ts: str, within_seconds: int, key_limit: int | None = KEY_ROWS
 ) -> DataFrame:
     """Rows of ``df`` having another row of the same key at most ``within_seconds`` whole seconds away.
 
+    In order of time only the row before and the row after can be closest.
+    """
+    df = df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    ordinary, hot = split_hot(df, key, key_limit)
+    in_order = Window.partitionBy(key).orderBy(ts)
+    gap = _reach(within_seconds)
+    close = (
+        ordinary.select("*", F.lag(ts).over(in_order).alias("previous"), F.lead(ts).over(in_order).alias("following"))
+        .filter((F.col(ts) < F.col("previous") + gap) | (F.col("following") < F.col(ts) + gap))
+        .select(*df.columns)
+    )
+    return close if hot is None else close.unionByName(crowded_close_neighbours(hot, key, ts, within_seconds))
+
+
+def crowded_close_neighbours(
+    df: DataFrame, key: str, ts: str, within_seconds: int, stretch: int = STRETCH_SECONDS
+) -> DataFrame:
+    """:func:`rows_with_close_neighbour` for keys of any size.
+
     Rows sharing a second are close by definition, so the answer is the same for every row of a
     (key, second) group: alone in it, only the nearest earlier and later groups matter. Stretches
     overlap by the reach so that each group sees both in its own stretch.
     """
-    reach = within_seconds + 1  # the truncated difference is <= n exactly when the true one is < n + 1
-    per_second = (
-        df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
-        .groupBy(key, _tumbling(F.col(ts), 1).alias("second"))
-        .agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+    reach = within_seconds + 1
+    per_second = df.groupBy(key, _tumbling(F.col(ts), 1).alias("second")).agg(
+        F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")
     )
     overlapping = F.window(
         "second", f"{stretch + 2 * reach} seconds", f"{stretch} seconds", f"{-reach % stretch} seconds"
@@ -66,30 +89,62 @@ def rows_with_close_neighbour(
 
 
 def rows_after_close_arrival(
+    df: DataFrame,
+    key: str,
+    ts: str,
+    arrival: str,
+    within_seconds: int,
+    candidate: Column,
+    wanted: Column,
+    key_limit: int | None = KEY_ROWS,
+) -> DataFrame:
+    """``wanted`` rows with a ``candidate`` of the same key that arrived earlier and lies close in time.
+
+    ``arrival`` orders arrivals: any orderable column, structs included.
+    """
+    df = df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    ordinary, hot = split_hot(df, key, key_limit)
+    # the widest closed range inside the open one: time has microseconds
+    near = f"INTERVAL '{within_seconds}.999999' SECOND"
+    earliest = F.expr(
+        f"min(candidate_arrival) OVER (PARTITION BY `{key}` ORDER BY `{ts}` "
+        f"RANGE BETWEEN {near} PRECEDING AND {near} FOLLOWING)"
+    )
+    close = (
+        ordinary.select("*", wanted.alias("wanted"), F.when(candidate, F.col(arrival)).alias("candidate_arrival"))
+        .withColumn("earliest", earliest)
+        .filter(F.col("wanted") & (F.col("earliest") < F.col(arrival)))
+        .select(*df.columns)
+    )
+    if hot is None:
+        return close
+    crowded = crowded_after_close_arrival(hot.filter(wanted), hot.filter(candidate), key, ts, arrival, within_seconds)
+    return close.unionByName(crowded)
+
+
+def crowded_after_close_arrival(
     rows: DataFrame, candidates: DataFrame, key: str, ts: str, arrival: str, within_seconds: int
 ) -> DataFrame:
-    """Rows with a candidate of the same key that arrived earlier and lies close in time.
+    """:func:`rows_after_close_arrival` for keys of any size.
 
-    ``arrival`` orders arrivals (any orderable column, structs included). Time is cut into blocks as
-    wide as the reach. The row's own block qualifies whole; of the two next to it, the part within
-    reach is a suffix or a prefix, so a running minimum of ``arrival`` answers it. Each distinct
-    instant of ``rows`` is placed as a probe into the three blocks.
+    Time is cut into blocks as wide as the reach. The row's own block qualifies whole; of the two
+    next to it, the part within reach is a suffix or a prefix, so a running minimum of ``arrival``
+    answers it. Each distinct instant of ``rows`` is placed as a probe into the three blocks.
     """
     width = within_seconds + 1
     reach = seconds(width)
-    instants = rows.groupBy(key, ts).agg(F.max(arrival).alias("latest"))
-    probes = instants.withColumn("block", _tumbling(F.col(ts), width)).select(
-        key,
-        F.col(ts).alias("at"),
-        F.explode(
-            F.array(
-                F.struct((F.col("block") - reach).alias("block"), (F.col(ts) - reach).alias("pos"), F.lit("before").alias("side")),
-                F.struct(F.col("block"), F.col(ts).alias("pos"), F.lit("own").alias("side")),
-                F.struct((F.col("block") + reach).alias("block"), (F.col(ts) + reach).alias("pos"), F.lit("after").alias("side")),
-            )
-        ).alias("probe"),
-        "latest",
-    ).select(key, "probe.block", "probe.pos", "probe.side", "at", "latest", F.lit(0).alias("kind"))
+
+    def probe(side: str, shift: Column | None) -> Column:
+        block, at = F.col("block"), F.col(ts)
+        if shift is not None:
+            block, at = block + shift, at + shift
+        return F.struct(F.lit(side).alias("side"), block.alias("block"), at.alias("pos"))
+
+    instants = rows.groupBy(key, ts).agg(F.max(arrival).alias("latest")).withColumn("block", _tumbling(F.col(ts), width))
+    placed = F.explode(F.array(probe("before", -reach), probe("own", None), probe("after", reach)))
+    probes = instants.select(key, F.col(ts).alias("at"), placed.alias("probe"), "latest").select(
+        key, "probe.*", "at", "latest", F.lit(0).alias("kind")
+    )
     found = (
         candidates.groupBy(key, ts)
         .agg(F.min(arrival).alias("arrived"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aisle.plans.neighbours import trailing_counts
 from aisle.plans.positions import segment_count
-from aisle.plans.sizes import BROADCAST_ROWS, KEY_ROWS, hot_keys
+from aisle.plans.sizes import KEY_ROWS, split_hot
 from aisle.session import materialise
 
 ADDED = ["previous_ts", "previous_value", "rolling_value", "recent_rows"]
@@ -93,20 +93,12 @@ def key_sequence(
 ) -> list[DataFrame]:
     """``df`` with ADDED columns, as one part or, with keys above ``key_limit`` rows, two.
 
-    The second part holds those keys in the spread form. They are counted by reading the key column
-    of ``count_in``, a table as cheap to read as possible (``df`` by default). ``key_limit=None``
-    skips that for data known to have none. Parts are left apart so that the first keeps its
-    partitioning by key for a following join.
+    The second part holds those keys in the spread form; see :func:`split_hot` for the options. Parts
+    are left apart so that the first keeps its partitioning by key for a following join.
     """
     arguments = (key, ts, tie_break, value, rows, seconds)
-    if key_limit is None:
-        return [plain_sequence(df, *arguments)]
-    hot = hot_keys(df if count_in is None else count_in, key, key_limit)
-    count = hot.count()
-    if count == 0:
-        return [plain_sequence(df, *arguments)]
-    hot = materialise(hot)
-    if count <= BROADCAST_ROWS:
-        hot = F.broadcast(hot)
-    cold = plain_sequence(df.join(hot, key, "left_anti"), *arguments)
-    return [cold, spread_sequence(df.join(hot, key, "left_semi"), *arguments)]
+    ordinary, hot = split_hot(df, key, key_limit, count_in)
+    parts = [plain_sequence(ordinary, *arguments)]
+    if hot is not None:
+        parts.append(spread_sequence(hot, *arguments))
+    return parts

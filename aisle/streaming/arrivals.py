@@ -16,6 +16,7 @@ from aisle.functions.dates import seconds
 from aisle.operators.fraud import DEFAULT, FLAG_COLUMNS, RAPID, SEVERITY, Thresholds, reason_text, row_rule_flags
 from aisle.operators.inventory import sale_log, sold_units, subtract_sold
 from aisle.plans.neighbours import rows_after_close_arrival
+from aisle.plans.sizes import KEY_ROWS
 
 HISTORY_COLUMNS = ["transaction_id", "customer_id", "transaction_date", "status"]
 HISTORY_SCHEMA = "transaction_id bigint, customer_id bigint, transaction_date timestamp_ntz, status string"
@@ -26,23 +27,35 @@ def stream_row_rules(transactions: DataFrame, limits: Thresholds = DEFAULT) -> D
     return row_rule_flags(transactions, limits).select(*FLAG_COLUMNS)
 
 
-def rapid_arrivals(new: DataFrame, earlier: DataFrame | None, limits: Thresholds = DEFAULT) -> DataFrame:
+def rapid_arrivals(
+    new: DataFrame,
+    earlier: DataFrame | None,
+    limits: Thresholds = DEFAULT,
+    key_limit: int | None = KEY_ROWS,
+) -> DataFrame:
     """Flags for new rows that follow, in order of arrival, a close completed sale of their customer.
 
     Within ``new`` arrival is the order of transaction_id; all of ``earlier`` came before. Only the
     newcomer is flagged, whatever its own status.
     """
-    arrived = F.struct(F.lit(1).alias("batch"), F.col("transaction_id").alias("id"))
-    rows = new.select("transaction_id", "customer_id", "transaction_date", arrived.alias("arrival"))
+
+    def shaped(df: DataFrame, batch: int) -> DataFrame:
+        arrival = F.struct(F.lit(batch).alias("batch"), F.col("transaction_id").alias("id"))
+        return df.select(*HISTORY_COLUMNS, arrival.alias("arrival"))
+
+    rows = shaped(new, 1)
     completed = F.col("status") == "completed"
-    candidates = new.filter(completed).select("customer_id", "transaction_date", arrived.alias("arrival"))
     if earlier is not None:
-        before = F.struct(F.lit(0).alias("batch"), F.col("transaction_id").alias("id"))
-        candidates = candidates.unionByName(
-            earlier.filter(completed).select("customer_id", "transaction_date", before.alias("arrival"))
-        )
+        rows = rows.unionByName(shaped(earlier.filter(completed), 0))
     close = rows_after_close_arrival(
-        rows, candidates, "customer_id", "transaction_date", "arrival", limits.rapid_seconds
+        rows,
+        "customer_id",
+        "transaction_date",
+        "arrival",
+        limits.rapid_seconds,
+        candidate=completed,
+        wanted=F.col("arrival.batch") == 1,
+        key_limit=key_limit,
     )
     return close.select(
         "transaction_id",

@@ -31,7 +31,8 @@ def test_rules_at_their_limits(shop):
     assert pairs(fraud.rule_high_amount(tx)) == [(2, "high_amount")]
     assert pairs(fraud.rule_late_night(tx)) == [(3, "late_night")]
     assert pairs(fraud.rule_quantity(tx, products)) == [(2, "quantity")]
-    assert pairs(fraud.rule_rapid(tx)) == [p for p in EXPECTED if p[1] == "rapid"]
+    for key_limit in (None, 0):
+        assert pairs(fraud.rule_rapid(tx, key_limit=key_limit)) == [p for p in EXPECTED if p[1] == "rapid"]
 
 
 def test_reasons_and_severities(shop):

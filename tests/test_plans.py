@@ -8,7 +8,12 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from aisle.plans.neighbours import rows_after_close_arrival, rows_with_close_neighbour, trailing_counts
+from aisle.plans.neighbours import (
+    crowded_close_neighbours,
+    rows_after_close_arrival,
+    rows_with_close_neighbour,
+    trailing_counts,
+)
 from aisle.plans.positions import ntile, percent_rank_reversed, plain_positions, spread_positions
 from aisle.plans.sizes import fits, hot_keys
 
@@ -78,13 +83,14 @@ def close(a, b, within) -> bool:
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 @pytest.mark.parametrize("within", [0, 60])
-@pytest.mark.parametrize("stretch", [61, 3600])
-def test_close_neighbours_equal_all_pairs(spark, seed, within, stretch):
+def test_close_neighbours_equal_all_pairs(spark, seed, within):
     data, df = crowd(spark, seed)
     wanted = sorted(a[0] for a in data if any(a[0] != b[0] and a[1] == b[1] and close(a, b, within) for b in data))
-    found = rows_with_close_neighbour(df, "k", "ts", within, stretch)
-    assert sorted(rows_of(found, "id")) == wanted
-    assert found.columns == df.columns
+    for key_limit in (None, 50, 0):
+        found = rows_with_close_neighbour(df, "k", "ts", within, key_limit)
+        assert sorted(rows_of(found, "id")) == wanted
+        assert found.columns == df.columns
+    assert sorted(rows_of(crowded_close_neighbours(df, "k", "ts", within, stretch=61), "id")) == wanted
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -92,10 +98,13 @@ def test_close_neighbours_equal_all_pairs(spark, seed, within, stretch):
 def test_earlier_arrivals_equal_all_pairs(spark, seed, within):
     data, df = crowd(spark, seed)
     wanted = sorted(
-        a[0] for a in data if any(b[3] and b[0] < a[0] and a[1] == b[1] and close(a, b, within) for b in data)
+        a[0]
+        for a in data
+        if a[0] % 2 and any(b[3] and b[0] < a[0] and a[1] == b[1] and close(a, b, within) for b in data)
     )
-    found = rows_after_close_arrival(df, df.filter("ok"), "k", "ts", "id", within)
-    assert sorted(rows_of(found, "id")) == wanted
+    for key_limit in (None, 50, 0):
+        found = rows_after_close_arrival(df, "k", "ts", "id", within, F.col("ok"), F.col("id") % 2 == 1, key_limit)
+        assert sorted(rows_of(found, "id")) == wanted
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -115,8 +124,10 @@ def test_neighbours_do_not_depend_on_the_session_zone(spark):
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/New_York")
-        assert sorted(rows_of(rows_with_close_neighbour(df, "k", "ts", 60), "id")) == [3, 4]
-        assert rows_of(rows_after_close_arrival(df, df, "k", "ts", "id", 60), "id") == [4]
+        for key_limit in (None, 0):
+            assert sorted(rows_of(rows_with_close_neighbour(df, "k", "ts", 60, key_limit), "id")) == [3, 4]
+            every = F.lit(True)
+            assert rows_of(rows_after_close_arrival(df, "k", "ts", "id", 60, every, every, key_limit), "id") == [4]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
 

@@ -34,9 +34,10 @@ def test_arrival_rules_at_their_limits(shop):
     found = key(arrivals.stream_row_rules(shop["transactions"]))
     assert [(t, r) for t, r, *_ in found] == [(2, "high_amount"), (2, "quantity"), (3, "late_night"), (14, "quantity")]
     assert found[1][2] == "Unusual quantity: 31 units in a single transaction"
-    rapid = arrivals.rapid_arrivals(shop["transactions"], None)
-    # only newcomers, whatever their own status; 10 follows 9, 11 follows 9 and not the pending 10
-    assert sorted(rows_of(rapid, "transaction_id")) == [7, 10, 11]
+    for key_limit in (None, 0):
+        rapid = arrivals.rapid_arrivals(shop["transactions"], None, key_limit=key_limit)
+        # only newcomers, whatever their own status; 10 follows 9, 11 follows 9 and not the pending 10
+        assert sorted(rows_of(rapid, "transaction_id")) == [7, 10, 11]
 
 
 def test_a_pending_row_does_not_make_others_rapid(shop):
