@@ -369,8 +369,10 @@ FROM sold JOIN products USING (product_id) GROUP BY product_name
 ORDER BY SUM(total_amount) DESC, product_name LIMIT 8
 """)
 def top_products_by_name(w):
-    rows = w.completed().join(w.products().select("product_id", "product_name"), "product_id")
-    return sales.top_products_by_name(rows)
+    """Sales are summed per product before its name is joined, then once more per name."""
+    per_product = sales.product_sales(w.completed()).withColumnRenamed("revenue", "total_amount")
+    named = per_product.join(w.products().select("product_id", "product_name"), "product_id")
+    return sales.top_products_by_name(named)
 
 
 @query(FLAGGED_CTE + FLAGGED_SQL)

@@ -133,13 +133,25 @@ def append_customers(batch: DataFrame, customers: DataFrame, at: Column | None =
     return Checked(accepted, bad.unionByName(turned_away, allowMissingColumns=True))
 
 
-def update_products(changes: DataFrame, products: DataFrame) -> DataFrame:
+def one_change_per_key(changes: DataFrame, key: str, order: str | None) -> DataFrame:
+    """The last change of each key by ``order``; without an order the largest values, so that a
+    repeated key never multiplies rows and the outcome does not depend on their arrangement."""
+    values = [c for c in changes.columns if c not in (key, order)]
+    row = F.struct(*values)
+    last = F.max(row) if order is None else F.max(F.struct(F.col(order), row.alias("row"))).getField("row")
+    return changes.groupBy(key).agg(last.alias("row")).select(key, "row.*")
+
+
+def update_products(changes: DataFrame, products: DataFrame, order: str | None = None) -> DataFrame:
     """Products with the given name, price, stock and reorder level; NULL keeps the old value.
 
-    ``changes`` has one row per product_id and any of the four columns.
+    ``changes`` has product_id and any of the four columns; ``order`` names a column by which the
+    last of several changes to one product is taken whole.
     """
     editable = [c for c in ("product_name", "price", "stock_quantity", "reorder_level") if c in changes.columns]
-    new = changes.select("product_id", *[F.col(c).alias(f"new_{c}") for c in editable])
+    new = one_change_per_key(changes, "product_id", order).select(
+        "product_id", *[F.col(c).alias(f"new_{c}") for c in editable]
+    )
     kind = dict(zip(products.columns, [f.dataType for f in products.schema.fields], strict=True))
     return products.join(new, "product_id", "left").select(
         *[
@@ -158,11 +170,14 @@ def resolve_flags(flags: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def update_status(changes: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Transactions with the status of ``changes`` (transaction_id, status) where it is a valid one."""
-    new = changes.filter(F.col("status").isin(*STATUSES)).select(
-        "transaction_id", F.col("status").alias("new_status")
-    )
+def update_status(changes: DataFrame, transactions: DataFrame, order: str | None = None) -> DataFrame:
+    """Transactions with the status of ``changes`` (transaction_id, status) where it is a valid one.
+
+    ``order`` names a column by which the last of several changes to one transaction is taken.
+    """
+    valid = changes.filter(F.col("status").isin(*STATUSES))
+    wanted = ["transaction_id", "status", *([order] if order else [])]
+    new = one_change_per_key(valid.select(*wanted), "transaction_id", order).withColumnRenamed("status", "new_status")
     status = F.coalesce("new_status", "status")
     return transactions.join(new, "transaction_id", "left").select(
         *[status.alias(c) if c == "status" else F.col(c) for c in transactions.columns]

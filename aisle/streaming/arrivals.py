@@ -76,14 +76,23 @@ def _replace_batch(df: DataFrame, batch_id: int, path: str, partitions: tuple[st
 
 
 def _earlier_history(batch: DataFrame, batch_id: int, path: str, limits: Thresholds) -> DataFrame | None:
-    """Stored rows of earlier batches on the days this batch can reach."""
-    reach = seconds(limits.rapid_seconds + 1)
-    ts = F.col("transaction_date")
-    first, last = batch.agg(F.to_date(F.min(ts) - reach), F.to_date(F.max(ts) + reach)).first()
-    if first is None:
+    """Stored rows of earlier batches on the days this batch can reach.
+
+    Only those days' folders are listed, however long the history. The days collected here are the
+    distinct calendar days of one batch and their neighbours; its own days have just been written.
+    """
+    ts, reach = F.col("transaction_date"), seconds(limits.rapid_seconds + 1)
+    near = F.array(*[F.to_date(at) for at in (ts - reach, ts, ts + reach)])
+    days = [row[0] for row in batch.select(F.explode(near).alias("day")).distinct().filter("day IS NOT NULL").collect()]
+    if not days:
         return None
-    stored = batch.sparkSession.read.schema(f"{HISTORY_SCHEMA}, day date, batch_id bigint").parquet(path)
-    return stored.filter(F.col("day").between(first, last) & (F.col("batch_id") < batch_id))
+    folders = ",".join(sorted(day.isoformat() for day in days))
+    stored = (
+        batch.sparkSession.read.schema(f"{HISTORY_SCHEMA}, day date, batch_id bigint")
+        .option("basePath", path)
+        .parquet(f"{path}/day={{{folders}}}")
+    )
+    return stored.filter(F.col("batch_id") < batch_id)
 
 
 def arrival_writer(folder: str, limits: Thresholds = DEFAULT, *, rapid: bool = True, stock: bool = True):

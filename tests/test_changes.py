@@ -74,6 +74,17 @@ def test_update_products_keeps_what_is_not_given(spark, shop):
     assert [f.dataType for f in updated.schema] == [f.dataType for f in shop["products"].schema]
 
 
+def test_repeated_changes_do_not_multiply_rows(spark, shop):
+    new = spark.createDataFrame([(1, 5.0, 1), (1, 4.0, 2), (1, 3.0, 0)], "product_id bigint, price double, seq int")
+    for order, price in ((None, "5.00"), ("seq", "4.00")):
+        updated = changes.update_products(new.drop("seq") if order is None else new, shop["products"], order)
+        assert updated.count() == 6
+        assert rows_of(updated.filter("product_id = 1"), "price") == [Decimal(price)]
+    moves = spark.createDataFrame([(1, "refunded", 1), (1, "cancelled", 2)], "transaction_id bigint, status string, seq int")
+    updated = changes.update_status(moves, shop["transactions"], "seq")
+    assert updated.count() == 14 and rows_of(updated.filter("transaction_id = 1"), "status") == ["cancelled"]
+
+
 def test_resolve_and_status(spark, shop):
     ids = spark.createDataFrame([(2,), (2,), (99,)], "flag_id bigint")
     assert dict(rows_of(changes.resolve_flags(shop["fraud_flags"], ids), "flag_id", "resolved")) == {1: 1, 2: 1, 3: 0}
