@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from aisle.catalog.registry import query
 from aisle.operators import fraud, sales
 from aisle.operators.fraud import Thresholds
+from aisle.session import materialise
 
 EVENT_LIMITS = Thresholds(high_amount=200, quantity=95, night_amount=100)
 LINE_LIMITS = Thresholds(high_amount=104000, quantity=45)
@@ -225,17 +226,19 @@ FROM r JOIN customers USING (customer_id) LEFT JOIN flags f USING (transaction_i
 
 @query(AFTER_SQL)
 def fraud_analysis(w):
-    return fraud.fraud_analysis(w.events(), flags(w), w.customers(), limits=EVENT_LIMITS)
+    return fraud.fraud_analysis(w.events(), materialise(flags(w)), w.customers(), limits=EVENT_LIMITS)
 
 
 @query(BEFORE_SQL)
 def fraud_analysis_before_flags(w):
     return fraud.fraud_analysis(
-        w.events(), flags(w), w.customers(), limits=EVENT_LIMITS, windows="before_flags"
+        w.events(), materialise(flags(w)), w.customers(), limits=EVENT_LIMITS, windows="before_flags"
     )
 
 
 @query(AFTER_SQL)
 def fraud_analysis_spread(w):
     """The same view with every customer treated as too large for one task."""
-    return fraud.fraud_analysis(w.events(), flags(w), w.customers(), limits=EVENT_LIMITS, key_limit=0)
+    return fraud.fraud_analysis(
+        w.events(), materialise(flags(w)), w.customers(), limits=EVENT_LIMITS, key_limit=0
+    )

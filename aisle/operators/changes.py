@@ -121,7 +121,9 @@ def append_customers(batch: DataFrame, customers: DataFrame, at: Column | None =
     )
     row = F.struct("name", *[c for c in filled.columns if c not in ("name", "email")])
     first = filled.groupBy("email").agg(F.min(row).alias("row"), F.count("*").alias("copies"))
-    stored = customers.select("email").distinct().withColumn("stored", F.lit(True))
+    # stored addresses reduced to the batch's, so that a small batch costs the table one scan
+    stored = customers.select("email").join(first.select("email"), "email", "left_semi").distinct()
+    stored = stored.withColumn("stored", F.lit(True))
     marked = first.join(stored, "email", "left").select("email", "row.*", "copies", "stored")
     accepted = marked.filter(F.col("stored").isNull()).select(*filled.columns)
     turned_away = marked.filter(F.col("stored").isNotNull() | (F.col("copies") > 1)).select(
@@ -190,8 +192,12 @@ def cascade_delete(child: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
 
 
 def restrict_delete(parents: DataFrame, child: DataFrame, key: str) -> DataFrame:
-    """Parents that may not be deleted because children refer to them."""
-    return parents.join(child.select(key).distinct(), key, "left_semi")
+    """Parents that may not be deleted because children refer to them.
+
+    Children are first reduced to those of the given parents, usually few.
+    """
+    held = child.select(key).join(parents.select(key), key, "left_semi").distinct()
+    return parents.join(held, key, "left_semi")
 
 
 def cascade_key_update(child: DataFrame, mapping: DataFrame, key: str) -> DataFrame:

@@ -66,6 +66,9 @@ def employees_of_store(employees: DataFrame, store_id: int) -> DataFrame:
 
 
 def existing(df: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Split ``wanted`` ids into those present in ``df`` and the rejected rest."""
-    ids = df.select(key).distinct()
+    """Split ``wanted`` ids into those present in ``df`` and the rejected rest.
+
+    The table is first reduced to the wanted ids, the side expected to be small.
+    """
+    ids = df.select(key).join(wanted.select(key), key, "left_semi").distinct()
     return wanted.join(ids, key, "left_semi"), wanted.join(ids, key, "left_anti")

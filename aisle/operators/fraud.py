@@ -6,8 +6,8 @@ customer's sales in time and treats very large customers apart, see :mod:`aisle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +18,8 @@ from aisle.functions.money import money_text
 from aisle.operators.filters import completed_sales, matching
 from aisle.plans.neighbours import rows_with_close_neighbour
 from aisle.plans.positions import positions
-from aisle.plans.sequences import key_sequence
-from aisle.plans.sizes import KEY_ROWS
+from aisle.plans.sequences import plain_sequence, spread_sequence
+from aisle.plans.sizes import KEY_ROWS, most_rows_per_key, split_hot
 from aisle.session import materialise
 
 HIGH_AMOUNT, RAPID, QUANTITY, LATE_NIGHT = "high_amount", "rapid", "quantity", "late_night"
@@ -314,25 +314,19 @@ def fraud_analysis(
 
     The published view computes its windows after joining flags, so a transaction with two flags
     counts twice and its copy looks like an instant repeat; ``windows="before_flags"`` computes them
-    over transactions alone. Names are joined last, the customer's where rows already lie by customer.
+    over transactions alone. Customers above ``key_limit`` rows are windowed in segments; the two
+    kinds part before any join, and names are joined last, where rows already lie by customer.
     """
     if windows not in ("after_flags", "before_flags"):
         raise ValueError("windows must be 'after_flags' or 'before_flags'")
     flag = flags.select("transaction_id", "flag_id", "flag_reason", "severity", "resolved")
-    rows = transactions.select(
-        "transaction_id",
-        "customer_id",
-        *(["product_id"] if products is not None else []),
-        *(["store_id"] if stores is not None else []),
-        "total_amount",
-        "transaction_date",
-        "payment_method",
-        "quantity",
-    )
-    tie_break = ["transaction_id"]
-    if windows == "after_flags":
-        rows = rows.join(flag, "transaction_id", "left")
-        tie_break = ["transaction_id", "flag_id"]
+    columns = ["transaction_id", "customer_id", "total_amount", "transaction_date", "payment_method", "quantity"]
+    columns += ["product_id"] if products is not None else []
+    columns += ["store_id"] if stores is not None else []
+    tie_break = ["transaction_id", "flag_id"] if windows == "after_flags" else ["transaction_id"]
+    if windows == "after_flags" and key_limit is not None:
+        # a customer's rows after the join are at most this many times its transactions
+        key_limit //= max(1, most_rows_per_key(flags, "transaction_id"))
     since_last = seconds_between(F.col("previous_ts"), F.col("transaction_date"))
     indicator = fraud_indicator(
         F.col("total_amount"),
@@ -345,24 +339,21 @@ def fraud_analysis(
         night_amount=limits.night_amount,
         night_hours=limits.night_hours,
     )
-    parts = key_sequence(
-        rows,
-        "customer_id",
-        "transaction_date",
-        tie_break,
-        "total_amount",
-        rows=5,
-        seconds=3600,
-        key_limit=key_limit,
-        count_in=transactions,
-    )
-    finished = []
-    for part in parts:
-        part = part.withColumn("seconds_since_last", since_last).withColumn("fraud_indicator", indicator)
+
+    def analysed(rows: DataFrame, sequence: Callable[..., DataFrame]) -> DataFrame:
+        if windows == "after_flags":
+            rows = rows.join(flag, "transaction_id", "left")
+        rows = sequence(rows, "customer_id", "transaction_date", tie_break, "total_amount", rows=5, seconds=3600)
+        rows = rows.withColumn("seconds_since_last", since_last).withColumn("fraud_indicator", indicator)
         if windows == "before_flags":
-            part = part.join(flag, "transaction_id", "left")
-        finished.append(_with_names(part, customers, products, stores))
-    return reduce(DataFrame.unionByName, finished).withColumnsRenamed(
+            rows = rows.join(flag, "transaction_id", "left")
+        return _with_names(rows, customers, products, stores)
+
+    ordinary, hot = split_hot(transactions.select(*columns), "customer_id", key_limit)
+    result = analysed(ordinary, plain_sequence)
+    if hot is not None:
+        result = result.unionByName(analysed(hot, spread_sequence))
+    return result.withColumnsRenamed(
         {
             "previous_ts": "prev_transaction_date",
             "previous_value": "prev_amount",

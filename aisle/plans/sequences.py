@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from aisle.plans.neighbours import trailing_counts
 from aisle.plans.positions import segment_count
-from aisle.plans.sizes import KEY_ROWS, split_hot
 from aisle.session import materialise
 
 ADDED = ["previous_ts", "previous_value", "rolling_value", "recent_rows"]
@@ -79,26 +78,3 @@ def spread_sequence(
     recent = trailing_counts(cut, key, ts, seconds).withColumnRenamed("n", "recent_rows")
     return windowed.join(recent, [key, ts]).select(*df.columns, *ADDED)
 
-
-def key_sequence(
-    df: DataFrame,
-    key: str,
-    ts: str,
-    tie_break: list[str],
-    value: str,
-    rows: int,
-    seconds: int,
-    key_limit: int | None = KEY_ROWS,
-    count_in: DataFrame | None = None,
-) -> list[DataFrame]:
-    """``df`` with ADDED columns, as one part or, with keys above ``key_limit`` rows, two.
-
-    The second part holds those keys in the spread form; see :func:`split_hot` for the options. Parts
-    are left apart so that the first keeps its partitioning by key for a following join.
-    """
-    arguments = (key, ts, tie_break, value, rows, seconds)
-    ordinary, hot = split_hot(df, key, key_limit, count_in)
-    parts = [plain_sequence(ordinary, *arguments)]
-    if hot is not None:
-        parts.append(spread_sequence(hot, *arguments))
-    return parts

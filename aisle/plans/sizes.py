@@ -41,3 +41,8 @@ def split_hot(
     if count <= BROADCAST_ROWS:
         hot = F.broadcast(hot)
     return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
+
+
+def most_rows_per_key(df: DataFrame, key: str) -> int:
+    """The largest number of rows of one key; 0 for an empty table."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
