@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from aisle.catalog.fraud import LINE_LIMITS, RULES_SQL, flags
 from aisle.catalog.registry import query
 from aisle.functions.money import price
-from aisle.operators import changes, demand, filters, fraud, quality
+from aisle.operators import changes, demand, filters, fraud, quality, sales
 from aisle.schemas import ForeignKey
 from aisle.session import scratch_path
 from aisle.sources import tables
@@ -19,6 +19,61 @@ AT = "2002-01-01"
 # Sources and sinks
 
 
+@query("SELECT DISTINCT category_name AS category_id, category_name FROM products")
+def scan_categories(w):
+    return tables.listing(w.categories(), "categories")
+
+
+@query("SELECT customer_id, name, email, city FROM customers")
+def scan_customers(w):
+    return w.customers(with_city=True)
+
+
+@query("""
+SELECT product_id, product_name, category_name AS category_id, category_name, CAST(price AS DOUBLE) AS price,
+       stock_quantity, reorder_level
+FROM products
+""")
+def scan_products(w):
+    return w.products()
+
+
+@query("""
+SELECT transaction_id, customer_id, product_id, store_id, quantity, unit_price,
+       CAST(total_amount AS DOUBLE) AS total_amount, transaction_date, payment_method, status
+FROM priced
+""")
+def scan_transactions(w):
+    return w.transactions()
+
+
+def staff(w):
+    """Customers as employees, each of the store numbered like their nation."""
+    return w.raw("customer").select(
+        F.col("c_custkey").alias("employee_id"),
+        F.col("c_name").alias("name"),
+        F.col("c_mktsegment").alias("role"),
+        F.col("c_nationkey").cast("bigint").alias("store_id"),
+    )
+
+
+STAFF_SQL = """
+SELECT c_custkey AS employee_id, c_name AS name, c_mktsegment AS role, CAST(c_nationkey AS BIGINT) AS store_id,
+       store_name
+FROM customer JOIN stores ON store_id = c_nationkey
+"""
+
+
+@query(STAFF_SQL)
+def employee_directory(w):
+    return sales.employee_directory(staff(w), w.stores())
+
+
+@query(STAFF_SQL + "WHERE c_nationkey = 7")
+def employees_of_store(w):
+    return filters.employees_of_store(sales.employee_directory(staff(w), w.stores()), 7)
+
+
 @query(" UNION ALL ".join(f"SELECT '{name}' AS \"table\", COUNT(*) AS n FROM {name}" for name in RAW_TABLES), model="")
 def table_counts(w):
     return tables.table_counts({name: w.raw(name) for name in RAW_TABLES})

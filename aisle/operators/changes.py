@@ -52,6 +52,12 @@ def with_next_ids(rows: DataFrame, table: DataFrame, key: str, order: list[str])
     return numbered.select((F.col("row_no") + last).alias(key), *rows.columns)
 
 
+def with_missing_ids(table: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``table`` with its NULL keys numbered after the largest one; rows added by an upsert have none."""
+    kept, new = table.filter(F.col(key).isNotNull()), table.filter(F.col(key).isNull())
+    return kept.unionByName(with_next_ids(new.drop(key), kept, key, order).select(*table.columns))
+
+
 def append_transactions(batch: DataFrame, at: Column | None = None) -> Checked:
     """Validated sales with their total and status 'completed'.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aisle.functions.dates import Day, between_days
+from aisle.functions.dates import Day, between_days, day
 from aisle.functions.dates import trailing_months as in_trailing_months
 
 COMPLETED = "completed"
@@ -24,9 +24,9 @@ def between_dates(
     if start is not None and end is not None:
         return df.filter(between_days(F.col(column), start, end))
     if start is not None:
-        return df.filter(F.to_date(column) >= F.lit(start).cast("date"))
+        return df.filter(F.to_date(column) >= day(start))
     if end is not None:
-        return df.filter(F.to_date(column) <= F.lit(end).cast("date"))
+        return df.filter(F.to_date(column) <= day(end))
     return df
 
 

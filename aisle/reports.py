@@ -1,7 +1,7 @@
 """The application's pages as sets of DataFrames, and its views for SQL users.
 
 ``tables`` maps table names to DataFrames, for example from :func:`aisle.sources.tables.scan_all`.
-Nothing runs until a result is used.
+Apart from size checks and the forecast run, nothing runs until a result is used.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from aisle.functions.dates import Day
-from aisle.operators import demand, fraud, inventory, paging, ranking, sales
+from aisle.operators import changes, demand, fraud, inventory, paging, ranking, sales
 from aisle.operators.fraud import DEFAULT, Thresholds
+from aisle.session import materialise
 
 Tables = Mapping[str, DataFrame]
 Report = dict[str, DataFrame]
@@ -70,9 +71,14 @@ def demand_page(tables: Tables, product_id=None) -> Report:
 
 
 def run_forecast(tables: Tables, as_of: Day | None = None, product_ids: DataFrame | None = None) -> Report:
-    """New predictions, the forecast table with them, and requested products that do not exist."""
-    new = demand.forecast_demand(tables["transactions"], tables["products"], as_of, product_ids)
-    report = {"predictions": new, "demand_forecast": demand.upsert_forecast(new, tables["demand_forecast"])}
+    """New predictions, the forecast table with them, and requested products that do not exist.
+
+    The predictions are stored once, as the numbering of added rows reads them several times.
+    """
+    new = materialise(demand.forecast_demand(tables["transactions"], tables["products"], as_of, product_ids))
+    table = demand.upsert_forecast(new, tables["demand_forecast"])
+    numbered = changes.with_missing_ids(table, "forecast_id", ["product_id", "forecast_date"])
+    report = {"predictions": new, "demand_forecast": numbered}
     if product_ids is not None:
         report["unknown_products"] = demand.unknown_products(product_ids, tables["products"])
     return report

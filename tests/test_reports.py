@@ -33,6 +33,10 @@ def test_report_contents(spark, shop):
     run = reports.run_forecast(shop, "2024-05-31", spark.createDataFrame([(1,), (77,)], "product_id bigint"))
     assert rows_of(run["unknown_products"]) == [(77,)]
     assert rows_of(run["predictions"], "product_id") == [1]
+    june = run["demand_forecast"].filter("forecast_date = '2024-06-01'")
+    assert rows_of(june, "forecast_id", "predicted_demand") == [(1, 31)]
+    everything = reports.run_forecast(shop, "2024-05-31")["demand_forecast"]
+    assert sorted(rows_of(everything, "forecast_id")) == list(range(1, 9))
     assert dict(rows_of(reports.run_fraud_detection(shop)["counts"]))["total"] == 5
     assert rows_of(reports.demand_page(shop, product_id=1)["forecast"], "accuracy_band") == [None, "fair"]
 

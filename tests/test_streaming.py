@@ -93,3 +93,14 @@ def test_stream_over_files(spark, sales, tmp_path):
     assert key(flags) == key(wanted)
     history = spark.read.parquet(str(tmp_path / "out" / "history"))
     assert history.count() == 240 and history.select("batch_id").distinct().count() == 3
+
+
+def test_row_rules_on_a_plain_stream(spark, sales, tmp_path):
+    sales.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(sales.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    query = (
+        arrivals.stream_row_rules(stream)
+        .writeStream.format("memory").queryName("row_rules").outputMode("append").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert key(spark.table("row_rules")) == key(arrivals.stream_row_rules(sales))
