@@ -121,9 +121,8 @@ def stock_alert_list(
     # 'out_of_stock' sorts last, so it is the largest level present; one row
     strongest = low.agg(F.max("level").alias("level"))
     listed = low.join(F.broadcast(strongest), "level")
-    numbered = positions(
-        listed, [("product_name", True), ("product_id", True)], [], spread=spread, bound=products
-    )
+    by_name = [("product_name", True), ("product_id", True)]
+    numbered = positions(listed, by_name, [], rows=products.count(), spread=spread)
     name = F.struct("row_no", "product_name")
     return numbered.groupBy(
         "level", F.floor((F.col("row_no") - 1) / names_per_row).alias("part"), F.col("group_rows").alias("alerts")

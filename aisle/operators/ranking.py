@@ -10,7 +10,6 @@ from aisle.functions.money import average
 from aisle.operators.filters import completed_sales
 from aisle.operators.sales import product_sales, with_category
 from aisle.plans.positions import ntile, percent_rank_reversed, positions
-from aisle.plans.sizes import fits
 
 ROLLING_DAYS = 7
 
@@ -32,12 +31,11 @@ def sales_ranking(
         named.select("product_id", "product_name", "category_id", "category_name"), "product_id"
     )
     by_revenue, by_units, by_id = [("revenue", False)], [("units_sold", False)], [("product_id", True)]
-    if spread is None:
-        spread = not fits(products)
+    size = products.count()
     kept = rows.columns
 
     def ranked(df: DataFrame, order, source: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
-        numbered = positions(df, order, by_id, keys, spread=spread)
+        numbered = positions(df, order, by_id, keys, rows=size, spread=spread)
         return numbered.select(*df.columns, F.col(source).alias(name))
 
     rows = ranked(rows, by_revenue, "rank_no", "revenue_rank")
@@ -99,7 +97,7 @@ def customer_spending(
         customers.select("customer_id", F.col("name").alias("customer_name"), "city"), "customer_id"
     )
     numbered = positions(
-        rows, [("total_spent", False)], [("customer_id", True)], spread=spread, bound=customers
+        rows, [("total_spent", False)], [("customer_id", True)], rows=customers.count(), spread=spread
     )
     return numbered.select(
         "customer_id",

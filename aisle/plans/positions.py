@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisle.plans.sizes import SINGLE_TASK_ROWS, fits
+from aisle.plans.sizes import SINGLE_TASK_ROWS
 from aisle.session import materialise
 
 Order = list[tuple[str, bool]]  # (column, ascending)
@@ -134,16 +134,22 @@ def positions(
     tie_break: Order,
     keys: tuple[str, ...] = (),
     *,
+    rows: int | None = None,
     spread: bool | None = None,
-    bound: DataFrame | None = None,
 ) -> DataFrame:
-    """Ordinary windows while ``bound`` (a table with at least as many rows) is small, else spread.
+    """Ordinary windows while the rows fit one task, else spread over segments that do.
 
-    ``spread`` forces one form. ``bound`` defaults to ``df`` itself.
+    ``rows`` is a known upper bound, such as the size of the dimension the rows were grouped by;
+    without it ``df`` is counted. ``spread`` forces one form.
     """
+    if rows is None and spread is None:
+        rows = df.count()
     if spread is None:
-        spread = not fits(bound if bound is not None else df, SINGLE_TASK_ROWS)
-    return (spread_positions if spread else plain_positions)(df, order, tie_break, keys)
+        spread = rows > SINGLE_TASK_ROWS
+    if not spread:
+        return plain_positions(df, order, tie_break, keys)
+    segments = max(segment_count(df), (rows or 0) // SINGLE_TASK_ROWS + 1)
+    return spread_positions(df, order, tie_break, keys, segments)
 
 
 def ntile(buckets: int) -> Column:

@@ -12,11 +12,6 @@ BROADCAST_ROWS = 1_000_000  # narrow key rows that may be copied to every execut
 KEY_ROWS = 100_000  # rows of one key that one task may window over
 
 
-def fits(df: DataFrame, limit: int = SINGLE_TASK_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; over Parquet this reads row counts only."""
-    return df.count() <= limit
-
-
 def hot_keys(df: DataFrame, key: str, limit: int = KEY_ROWS) -> DataFrame:
     """Keys holding more than ``limit`` rows. Counts are combined before the shuffle."""
     return df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(key)

@@ -15,7 +15,7 @@ from aisle.plans.neighbours import (
     trailing_counts,
 )
 from aisle.plans.positions import ntile, percent_rank_reversed, plain_positions, spread_positions
-from aisle.plans.sizes import fits, hot_keys
+from aisle.plans.sizes import hot_keys, most_rows_per_key, split_hot
 
 
 def sorted_text(df) -> list[str]:
@@ -134,5 +134,25 @@ def test_neighbours_do_not_depend_on_the_session_zone(spark):
 
 def test_size_checks(spark):
     df = spark.range(10).selectExpr("id DIV 6 AS k")
-    assert fits(df, 10) and not fits(df, 9)
     assert rows_of(hot_keys(df, "k", 5)) == [(0,)]
+    assert most_rows_per_key(df, "k") == 6 and most_rows_per_key(df.limit(0), "k") == 0
+    ordinary, hot = split_hot(df, "k", 5)
+    assert (ordinary.count(), hot.count()) == (4, 6)
+    assert split_hot(df, "k", 6)[1] is None and split_hot(df, "k", None)[1] is None
+
+
+def test_rows_choose_the_form(spark, monkeypatch):
+    """Above the limit no window without a partition key is left in the plan."""
+    from aisle.plans import positions as module
+
+    df = spark.range(50).selectExpr("id", "id % 7 AS v")
+    order, tie_break = [("v", True)], [("id", True)]
+
+    def plan(**options) -> str:
+        return module.positions(df, order, tie_break, **options)._jdf.queryExecution().toString()
+
+    assert "SinglePartition" in plan()
+    monkeypatch.setattr(module, "SINGLE_TASK_ROWS", 20)
+    spread = module.positions(df, order, tie_break)
+    assert "segment" in spread._jdf.queryExecution().toString()
+    assert sorted_text(spread) == sorted_text(plain_positions(df, order, tie_break))
