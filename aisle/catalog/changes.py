@@ -261,17 +261,14 @@ def reject_customers(w):
 
 @query("""
 , dearest AS (
-    SELECT product_id, MAX(unit_price) AS price FROM priced
-    WHERE status = 'completed' AND CAST(transaction_date AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2000-01-31'
-    GROUP BY product_id
+    SELECT product_id, MAX(unit_price) AS price FROM priced WHERE status = 'completed' GROUP BY product_id
 )
 SELECT p.product_id, p.product_name, COALESCE(d.price, CAST(p.price AS DOUBLE)) AS price, p.stock_quantity
 FROM products p LEFT JOIN dearest d USING (product_id)
 """)
 def update_products(w):
-    """Prices set to the highest one paid in January; the empty stock column keeps old values."""
-    january = filters.between_dates(w.completed(), "2000-01-01", "2000-01-31")
-    new = january.groupBy("product_id").agg(price(F.max("unit_price")).alias("price"))
+    """Prices set to the highest one ever paid; the empty stock column keeps old values."""
+    new = w.completed().groupBy("product_id").agg(price(F.max("unit_price")).alias("price"))
     updated = changes.update_products(new.withColumn("stock_quantity", F.lit(None).cast("int")), w.products())
     return updated.select("product_id", "product_name", "price", "stock_quantity")
 
@@ -317,14 +314,13 @@ def cascade_delete(w):
 
 
 @query("""
-SELECT product_id FROM products WHERE product_id IN (
-    SELECT product_id FROM sold
-    WHERE CAST(transaction_date AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2000-01-31')
+SELECT product_id FROM products
+WHERE product_id IN (SELECT product_id FROM tx WHERE quantity > 45 AND status = 'refunded')
 """)
 def restrict_delete(w):
-    """Products that January sales keep from being deleted."""
-    january = filters.between_dates(w.completed(), "2000-01-01", "2000-01-31")
-    return changes.restrict_delete(w.products().select("product_id"), january, "product_id")
+    """Products kept from being deleted by large refunded sales."""
+    large = fraud.row_rule_flags(w.transactions("refunded"), LINE_LIMITS, (fraud.QUANTITY,))
+    return changes.restrict_delete(w.products().select("product_id"), large, "product_id")
 
 
 @query("""

@@ -185,18 +185,27 @@ def product_catalog(w):
 # Stores and customers
 
 
-@query("""
+PERFORMANCE_SQL = """
 SELECT s.store_id, s.store_name, s.city, s.region, COUNT(t.transaction_id) AS total_transactions,
        CAST(COALESCE(SUM(t.total_amount), 0) AS DOUBLE) AS total_revenue,
        COALESCE(CAST(SUM(t.total_amount) AS DOUBLE) / COUNT(t.transaction_id), 0) AS avg_transaction,
        COUNT(DISTINCT t.customer_id) AS unique_customers
-FROM stores s LEFT JOIN sold t ON s.store_id = t.store_id
-     AND CAST(t.transaction_date AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2000-01-02'
+FROM stores s LEFT JOIN sold t ON s.store_id = t.store_id {period}
 GROUP BY s.store_id, s.store_name, s.city, s.region
-""")
+"""
+
+
+@query(PERFORMANCE_SQL.format(period=""))
 def store_performance(w):
-    """Two days only, so that some stores have no sale and must still appear."""
-    return sales.store_performance(w.stores(with_city=True), filters.between_dates(w.completed(), START, "2000-01-02"))
+    return sales.store_performance(w.stores(with_city=True), w.completed())
+
+
+@query(PERFORMANCE_SQL.format(
+    period="AND CAST(t.transaction_date AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2000-01-02'"))
+def store_performance_in_period(w):
+    """Two days, so that some stores have no sale and must still appear."""
+    two_days = filters.between_dates(w.completed(), START, "2000-01-02")
+    return sales.store_performance(w.stores(with_city=True), two_days)
 
 
 @query("""
@@ -218,17 +227,24 @@ def store_listing(w):
     return listing(w.stores(with_city=True), "stores")
 
 
-@query("""
+SPEND_SQL = """
 SELECT c.customer_id, c.name, c.email, c.city, COUNT(t.transaction_id) AS total_transactions,
        CAST(COALESCE(SUM(t.total_amount), 0) AS DOUBLE) AS total_spent
-FROM customers c LEFT JOIN sold t ON c.customer_id = t.customer_id
-     AND CAST(t.transaction_date AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'
+FROM customers c LEFT JOIN sold t ON c.customer_id = t.customer_id {period}
 GROUP BY c.customer_id, c.name, c.email, c.city
-""")
+"""
+
+
+@query(SPEND_SQL.format(period=""))
 def customer_spend(w):
-    """One year only, so that customers without a sale appear."""
-    year = filters.between_dates(w.completed(), START, END)
-    return sales.customer_spend(w.customers(with_city=True), year)
+    return sales.customer_spend(w.customers(with_city=True), w.completed())
+
+
+@query(SPEND_SQL.format(
+    period="AND CAST(t.transaction_date AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'"))
+def customer_spend_in_period(w):
+    """One year, so that customers without a sale appear."""
+    return sales.customer_spend(w.customers(with_city=True), filters.between_dates(w.completed(), START, END))
 
 
 # Rankings

@@ -5,31 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aisle.catalog.registry import query
-from aisle.operators import demand, filters, inventory
+from aisle.operators import demand, inventory
 
 AS_OF = "2001-08-01"
 FORECAST_DAY = "2001-06-15"  # the month after it already has stored forecasts for some products
-JANUARY = ("2000-01-01", "2000-01-31")
+CARTON = 10
 
-# Stock after one month of sales: in stock, low, empty and oversold products all occur.
-AFTER_JANUARY = """
-, january AS (
-    SELECT product_id, SUM(quantity) AS units FROM sold
-    WHERE CAST(transaction_date AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2000-01-31' GROUP BY product_id
+# Stock after all sales from an opening stock in cartons: plenty, low, empty and oversold all occur.
+SHELF = f"""
+, gone AS (
+    SELECT product_id, SUM(quantity) AS units FROM sold GROUP BY product_id
 ), shelf AS (
     SELECT product_id, product_name, category_name,
-           CAST(stock_quantity - COALESCE(units, 0) AS BIGINT) AS stock_quantity, reorder_level
-    FROM products LEFT JOIN january USING (product_id)
+           CAST(stock_quantity * {CARTON} - COALESCE(units, 0) AS BIGINT) AS stock_quantity, reorder_level
+    FROM products LEFT JOIN gone USING (product_id)
 )
 """
 
 
 def shelf(w):
-    january = filters.between_dates(w.completed(), *JANUARY)
-    return inventory.apply_sales_to_stock(w.products(), january)
+    opening = w.products().withColumn("stock_quantity", F.col("stock_quantity") * CARTON)
+    return inventory.apply_sales_to_stock(opening, w.completed())
 
 
-@query(AFTER_JANUARY + "SELECT product_id, stock_quantity, reorder_level FROM shelf")
+@query(SHELF + "SELECT product_id, stock_quantity, reorder_level FROM shelf")
 def apply_sales_to_stock(w):
     return shelf(w).select("product_id", "stock_quantity", "reorder_level")
 
@@ -43,7 +42,7 @@ def low_stock(w):
     return inventory.low_stock(w.products().drop("category_name"), w.categories())
 
 
-@query(AFTER_JANUARY + """
+@query(SHELF + """
 SELECT product_id, stock_quantity,
        CAST(CASE WHEN stock_quantity <= reorder_level THEN 1 ELSE 0 END AS BIGINT) AS low_stock
 FROM shelf
@@ -52,7 +51,7 @@ def low_stock_flag(w):
     return inventory.low_stock_flag(shelf(w)).select("product_id", "stock_quantity", "low_stock")
 
 
-@query(AFTER_JANUARY + """
+@query(SHELF + """
 SELECT product_id, stock_quantity,
        CASE WHEN stock_quantity <= reorder_level THEN 'REORDER NEEDED' ELSE 'OK' END AS stock_status
 FROM shelf
@@ -61,12 +60,12 @@ def stock_status(w):
     return inventory.stock_status(shelf(w)).select("product_id", "stock_quantity", "stock_status")
 
 
-@query(AFTER_JANUARY + "SELECT product_id, product_name, stock_quantity FROM shelf WHERE stock_quantity = 0")
+@query(SHELF + "SELECT product_id, product_name, stock_quantity FROM shelf WHERE stock_quantity = 0")
 def out_of_stock(w):
     return inventory.out_of_stock(shelf(w)).select("product_id", "product_name", "stock_quantity")
 
 
-@query(AFTER_JANUARY + """
+@query(SHELF + """
 SELECT product_id, CASE WHEN stock_quantity = 0 THEN 'Out of Stock'
        WHEN stock_quantity <= reorder_level THEN 'Low Stock' ELSE 'In Stock' END AS stock_label
 FROM shelf
@@ -75,7 +74,7 @@ def stock_label(w):
     return inventory.stock_label(shelf(w)).select("product_id", "stock_label")
 
 
-@query(AFTER_JANUARY + """
+@query(SHELF + """
 SELECT product_id, stock_quantity,
        CASE WHEN reorder_level > 0 THEN least(100, CAST(floor(
            CAST(stock_quantity AS DOUBLE) / (CAST(reorder_level AS DOUBLE) * 3) * 100 + 0.5) AS BIGINT))
@@ -104,7 +103,7 @@ def stock_alert_list(w):
     return inventory.stock_alert_list(w.products())
 
 
-@query(AFTER_JANUARY + ALERT_SQL.format(table="shelf", size=10))
+@query(SHELF + ALERT_SQL.format(table="shelf", size=10))
 def stock_alert_list_spread(w):
     return inventory.stock_alert_list(shelf(w), names_per_row=10, spread=True)
 
