@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,20 +34,15 @@ def build_session(app_name: str = "aisle", master: str | None = None, **conf: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Root of the shared scratch space: the session's checkpoint directory.
+    """Root of the shared scratch space: ``spark.checkpoint.dir``, or a folder of the warehouse.
 
-    A machine-local temporary folder is used only by a local master with nothing configured; on a
-    cluster the executors could not see it, so a missing setting is an error there.
+    Both are places that the driver and every executor reach; a machine-local temporary folder is
+    never used.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="aisle-"))
-    return context.getCheckpointDir()
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
