@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aisle.llm import bpe, exact_dedup, fingerprints, licenses, packing
+import corpus_pipeline
+from aisle.llm import bpe, exact_dedup, fingerprints, licenses, lm, ngram_join, packing, pii, quality, toxicity
 from aisle.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +31,22 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, folder, "documents"))
 
 
+def op4_quality_co_training(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(read_table(spark, folder, "documents"))
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_pii(read_table(spark, folder, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,14 +54,32 @@ def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(read_table(spark, folder, "documents"), path, pattern), path, pattern))
 
 
+def op9_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(read_table(spark, folder, "documents"))
+
+
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(read_table(spark, folder, "documents"))
+
+
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_syncmer_fingerprints,
         op2_best_fit_packing,
         op3_license_scan,
+        op4_quality_co_training,
+        op5_toxicity,
         op6_exact_dedup,
+        op7_pii,
         op8_byte_bpe,
+        op9_lm_scores,
+        op10_ngram_jaccard,
+        pipeline,
     )
 }
 
