@@ -33,7 +33,7 @@ STRICT = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?:\G|(?<![^ \t-\r@]))[^ \t-\r@]++(?:@|\(at\)|\[at\])[^ \t-\r@]++",
+    "email": r"(?:\G|(?<![^ \t-\r@]))(?:[^ \t-\r@]++@|[^ \t-\r@(\[]++(?:\(at\)|\[at\]))[^ \t-\r@]++",
     "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){3,7}(?![0-9A-Fa-f:])",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"(?<![0-9+.-])[0-9(][0-9 ().-]+[0-9]",
