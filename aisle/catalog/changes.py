@@ -195,23 +195,27 @@ def append_transactions(w):
 
 
 @query("""
-SELECT transaction_id, CASE WHEN payment_method = 'gift_card' THEN 'missing employee_id' ELSE 'quantity below 1' END
-       AS problem
+SELECT transaction_id, CASE WHEN payment_method = 'gift_card' THEN 'missing employee_id'
+       WHEN quantity = 1 THEN 'quantity below 1' ELSE 'unknown customer_id' END AS problem
 FROM tx WHERE quantity = 1 OR payment_method = 'gift_card'
+   OR customer_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < DATE '1995-03-01')
 """)
 def reject_transactions(w):
-    return changes.append_transactions(sale_batch(w)).rejected.select("transaction_id", "problem")
+    """Against the customers known by March 1995 later ones are orphans."""
+    early = w.raw("orders").filter(F.col("o_orderdate") < F.lit("1995-03-01").cast("date"))
+    known = {"customers": early.select(F.col("o_custkey").alias("customer_id")), "products": w.products()}
+    return changes.append_transactions(sale_batch(w), tables=known).rejected.select("transaction_id", "problem")
 
 
 @query("""
 SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category_id,
        CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS DOUBLE) AS price,
-       CAST(CASE WHEN p_size >= 10 THEN p_size ELSE 0 END AS BIGINT) AS stock_quantity,
+       CAST(p_size AS BIGINT) AS stock_quantity,
        CAST(10 AS BIGINT) AS reorder_level, TIMESTAMP '2002-01-01' AS created_at
-FROM part WHERE p_size <= 40
+FROM part WHERE p_size BETWEEN 10 AND 40
 """, model="")
 def append_products(w):
-    """Parts as new products: large ones come without a price, small ones without a stock."""
+    """Parts as new products: large ones come without a price, small ones without a stock; both are refused."""
     size = F.col("p_size")
     batch = w.raw("part").select(
         F.col("p_partkey").alias("product_id"),
@@ -219,6 +223,7 @@ def append_products(w):
         F.col("p_type").alias("category_id"),
         F.when(size <= 40, F.col("p_retailprice")).alias("price"),
         F.when(size >= 10, size).alias("stock_quantity"),
+        F.lit(10).alias("reorder_level"),
     )
     return changes.append_products(batch, F.lit(AT).cast("timestamp_ntz")).accepted
 
@@ -245,20 +250,45 @@ def append_customers(w):
 
 
 @query("""
-SELECT 'customer.' || substring(store_name, 10, 20) || '@example.com' AS email, 'email already stored' AS problem
+SELECT 'customer.' || substring(store_name, 10, 20) || '@example.com' AS email, store_name AS name, city,
+       'email already stored' AS problem
 FROM stores WHERE region <> 'ASIA'
 UNION ALL
-SELECT 'desk.' || lower(city) || '@example.com', 'email repeated in batch'
-FROM stores WHERE region = 'ASIA' GROUP BY city HAVING COUNT(*) > 1
+SELECT 'desk.' || lower(city) || '@example.com', store_name, city, 'email repeated in batch'
+FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY store_name) AS nth FROM stores WHERE region = 'ASIA')
+WHERE nth > 1
 """)
 def reject_customers(w):
     at = F.lit(AT).cast("timestamp_ntz")
-    return changes.append_customers(customer_batch(w), w.customers(), at).rejected.select("email", "problem")
+    return changes.append_customers(customer_batch(w), w.customers(), at).rejected.select("email", "name", "city", "problem")
 
 
 # Keyed updates
 
 
+@query("""
+, named AS (
+    SELECT product_id, arg_max(status || ' ' || product_id, transaction_date) AS product_name FROM sold
+    WHERE quantity > 40 GROUP BY product_id
+), dear AS (
+    SELECT product_id, MAX(unit_price) AS price FROM priced WHERE status = 'completed' AND quantity <= 40 GROUP BY product_id
+)
+SELECT p.product_id, COALESCE(n.product_name, p.product_name) AS product_name,
+       COALESCE(d.price, CAST(p.price AS DOUBLE)) AS price
+FROM products p LEFT JOIN named n USING (product_id) LEFT JOIN dear d USING (product_id)
+""")
+def update_products_in_turn(w):
+    """Every sale changes one field of its product, large ones the name, others the price in rising order."""
+    large = F.col("quantity") > 40
+    rows = w.completed().select(
+        "product_id",
+        F.when(large, F.concat_ws(" ", "status", F.col("product_id").cast("string"))).alias("product_name"),
+        F.when(~large, price(F.col("unit_price"))).alias("price"),
+        F.coalesce(F.when(~large, price(F.col("unit_price"))), F.lit(0)).alias("turn"),
+    )
+    return changes.update_products(rows, w.products(), "turn").select("product_id", "product_name", "price")
+
+
 @query("""
 , dearest AS (
     SELECT product_id, MAX(unit_price) AS price FROM priced WHERE status = 'completed' GROUP BY product_id

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from aisle.catalog.registry import query
 from aisle.functions.labels import short_label, without_prefix
 from aisle.operators import filters, paging, ranking, sales
+from aisle.operators.fraud import HIGH_AMOUNT, QUANTITY, Thresholds, row_rule_flags
 from aisle.plans.positions import positions
 
 START, END, AS_OF = "2000-01-01", "2000-12-31", "2001-08-01"
@@ -30,8 +33,6 @@ FLAGGED_CTE = ", flagged AS (SELECT transaction_id FROM sold WHERE total_amount
 
 def flags(w):
     """Flags on line items, by limits that fit their amounts."""
-    from aisle.operators.fraud import HIGH_AMOUNT, QUANTITY, Thresholds, row_rule_flags
-
     limits = Thresholds(high_amount=104000, quantity=45)
     return row_rule_flags(w.completed(), limits, (HIGH_AMOUNT, QUANTITY))
 
@@ -362,21 +363,22 @@ def sales_detail_filtered(w):
     )
 
 
-@query(DETAIL_SQL + "WHERE t.status = 'completed' ORDER BY t.transaction_date DESC, t.transaction_id LIMIT 25 OFFSET 50")
+@query(DETAIL_SQL + "WHERE t.status = 'completed' ORDER BY t.transaction_date DESC, t.transaction_id LIMIT 25 OFFSET 600")
 def sales_page(w):
-    """Third page of 25 of the newest 500 sales."""
-    newest = sales.sales_detail(w.completed(), w.customers(), w.products(), w.stores())
-    return paging.page_rows(newest, paging.NEWEST, paging.BY_ID, 3, paging.SALES_PAGE)
+    """Page 25 of 25 sales, of all there are: the page is cut from the facts before names are joined."""
+    page = paging.page_rows(w.completed(), paging.NEWEST, paging.BY_ID, 25, paging.SALES_PAGE)
+    return sales.sales_detail(page, w.customers(), w.products(), w.stores(), limit=None)
 
 
 @query("""
 SELECT CAST(SUM(total_amount) AS DOUBLE) AS revenue, COUNT(*) AS sales, CAST(SUM(quantity) AS BIGINT) AS units,
        CAST(SUM(total_amount) AS DOUBLE) / COUNT(*) AS average
-FROM (SELECT * FROM sold ORDER BY transaction_date DESC, transaction_id LIMIT 500)
+FROM sold WHERE CAST(transaction_date AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'
 """)
 def sales_page_summary(w):
-    newest = sales.sales_detail(w.completed(), w.customers(), w.products(), w.stores())
-    return sales.sales_page_summary(newest)
+    """Figures of a year's sales, all of them."""
+    rows = sales.sales_rows(w.completed(), w.customers(), w.products(), w.stores(), start=START, end=END)
+    return sales.sales_page_summary(rows)
 
 
 @query("""
@@ -399,7 +401,7 @@ def transactions_flagged(w):
 @query(FLAGGED_CTE + FLAGGED_SQL + "ORDER BY t.transaction_date DESC, t.transaction_id LIMIT 20 OFFSET 40")
 def paginate(w):
     page = paging.transactions_page(
-        w.transactions(), w.customers(), w.products(), w.stores(), flags(w), page=3, per_page=20
+        w.transactions(), w.customers(), w.products(), w.stores(), flags(w), page=3, per_page=20, most=paging.MAX_PER_PAGE
     )
     return page.rows
 
@@ -430,8 +432,6 @@ WHERE transaction_date < DATE '2000-06-30' OR (transaction_date = DATE '2000-06-
 ORDER BY transaction_date DESC, transaction_id LIMIT 20
 """)
 def page_after(w):
-    import datetime as dt
-
     rows = w.transactions().select("transaction_id", "transaction_date")
     return paging.page_after(rows, dt.datetime(2000, 6, 30), "5", 20)
 

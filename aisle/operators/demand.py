@@ -143,11 +143,13 @@ def _with_product(forecast: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def forecast_history(
-    forecast: DataFrame, products: DataFrame, product_id=None, rows: int = HISTORY_ROWS
+    forecast: DataFrame, products: DataFrame, product_id=None, rows: int | None = HISTORY_ROWS
 ) -> DataFrame:
-    """The newest ``rows`` forecasts per product, or of one product, with stock status."""
+    """The newest ``rows`` forecasts per product, or of one product, with stock status; all for None."""
     if product_id is not None:
         forecast = forecast.filter(F.col("product_id") == product_id)
+    if rows is None:
+        return _with_product(forecast, products).orderBy("product_id", F.desc("forecast_date"))
     newest = Window.partitionBy("product_id").orderBy(F.desc("forecast_date"))
     recent = forecast.withColumn("nth", F.row_number().over(newest)).filter(F.col("nth") <= rows).drop("nth")
     return _with_product(recent, products).orderBy("product_id", F.desc("forecast_date"))

@@ -172,16 +172,10 @@ def rule_rapid(
 def _name_products(found: DataFrame, products: DataFrame, limits: Thresholds) -> DataFrame:
     """Put the product name into quantity reasons; such a flag needs its product to exist."""
     names = products.select("product_id", "product_name")
-    is_quantity = F.col("rule") == QUANTITY
-    reason = F.when(is_quantity, reason_text(QUANTITY, limits, F.col("product_name"))).otherwise(
-        F.col("flag_reason")
-    )
-    return (
-        found.withColumn("product_id", F.when(is_quantity, F.col("product_id")))
-        .join(names, "product_id", "left")
-        .filter(~is_quantity | F.col("product_name").isNotNull())
-        .select("transaction_id", "rule", reason.alias("flag_reason"), "severity")
-    )
+    reason = reason_text(QUANTITY, limits, F.col("product_name"))
+    named = found.filter(F.col("rule") == QUANTITY).join(names.filter("product_name IS NOT NULL"), "product_id")
+    others = found.filter(F.col("rule") != QUANTITY).select(*FLAG_COLUMNS)
+    return others.unionByName(named.select("transaction_id", "rule", reason.alias("flag_reason"), "severity"))
 
 
 def detect_fraud(
@@ -201,10 +195,10 @@ def detect_fraud(
 
 
 def new_flag_count(new_flags: DataFrame) -> DataFrame:
-    """Rows per rule and, under 'total', over all."""
-    return new_flags.rollup("rule").agg(F.count("*").alias("new_flags_inserted")).select(
-        F.coalesce("rule", F.lit("total")).alias("rule"), "new_flags_inserted"
-    )
+    """Rows per rule and, under 'total', over all: 0 when nothing is new."""
+    per_rule = new_flags.groupBy("rule").agg(F.count("*").alias("new_flags_inserted"))
+    total = per_rule.agg(F.coalesce(F.sum("new_flags_inserted"), F.lit(0)).alias("new_flags_inserted"))
+    return per_rule.unionByName(total.select(F.lit("total").alias("rule"), "new_flags_inserted"))
 
 
 def flag_rows(new_flags: DataFrame, flags: DataFrame, flagged_at: Column | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aisle.functions import labels
 from aisle.operators.filters import completed_sales
-from aisle.operators.sales import checked_limit, with_category
+from aisle.operators.sales import limited, with_category
 from aisle.plans.positions import positions
 
 LOG_LIMIT = 200
@@ -130,25 +130,25 @@ def stock_alert_list(
 
 
 def inventory_history(
-    log: DataFrame, products: DataFrame, stores: DataFrame, limit: int = LOG_LIMIT, *, enforced_keys: bool = True
+    log: DataFrame, products: DataFrame, stores: DataFrame, limit: int | None = LOG_LIMIT, *, enforced_keys: bool = True
 ) -> DataFrame:
     """The newest log entries with names. The log's foreign keys are mandatory, so it is cut first."""
     newest = [F.desc("log_date"), F.asc("log_id")]
-    if enforced_keys:
-        log = log.orderBy(*newest).limit(checked_limit(limit))
-    return (
+    if enforced_keys and limit is not None:
+        log = limited(log.orderBy(*newest), limit)
+    named = (
         log.join(products.select("product_id", "product_name"), "product_id")
         .join(stores.select("store_id", "store_name"), "store_id")
         .select("log_id", "product_name", "store_name", "change_type", "quantity_change", "log_date", "notes")
         .orderBy(*newest)
-        .limit(checked_limit(limit))
     )
+    return limited(named, limit)
 
 
 def restock(products: DataFrame, deliveries: DataFrame) -> DataFrame:
     """Products after adding delivered units; several deliveries of one product add up.
 
-    ``deliveries`` has product_id and quantity; quantities below 1 are ignored.
+    ``deliveries`` has product_id and quantity; :func:`rejected_deliveries` has those that do not count.
     """
     arrived = (
         deliveries.filter(F.col("quantity") >= 1).groupBy("product_id").agg(F.sum("quantity").alias("arrived"))
@@ -159,6 +159,18 @@ def restock(products: DataFrame, deliveries: DataFrame) -> DataFrame:
     )
 
 
+def rejected_deliveries(products: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """Deliveries that change no stock, whole, with the ``problem``."""
+    known = products.select("product_id").distinct().withColumn("known", F.lit(True))
+    problem = (
+        F.when(F.col("quantity").isNull(), "missing quantity")
+        .when(F.col("quantity") < 1, "quantity below 1")
+        .when(F.col("known").isNull(), "unknown product_id")
+    )
+    found = deliveries.join(known, "product_id", "left").withColumn("problem", problem)
+    return found.filter(F.col("problem").isNotNull()).select(*deliveries.columns, "problem")
+
+
 def restock_log(deliveries: DataFrame, log_date: Column, notes: str = "Restock") -> DataFrame:
     """Log rows for deliveries that carry a store, without ids."""
     return deliveries.filter(F.col("quantity") >= 1).select(

@@ -23,15 +23,16 @@ class Page(NamedTuple):
     totals: DataFrame
 
 
-def page_bounds(page: int, per_page: int, most: int = MAX_PER_PAGE) -> tuple[int, int]:
-    """(offset, rows) of a page; pages count from 1."""
+def page_bounds(page: int, per_page: int, most: int | None = None) -> tuple[int, int]:
+    """(offset, rows) of a page; pages count from 1. More than a stated ``most`` is an error."""
     if per_page < 1:
         raise ValueError("per_page must be at least 1")
-    per_page = min(most, per_page)
+    if most is not None and per_page > most:
+        raise ValueError(f"per_page must be at most {most}")
     return (max(1, page) - 1) * per_page, per_page
 
 
-def page_totals(df: DataFrame, page: int, per_page: int, most: int = MAX_PER_PAGE) -> DataFrame:
+def page_totals(df: DataFrame, page: int, per_page: int, most: int | None = None) -> DataFrame:
     """page, per_page, total rows, pages, and the first and last row number shown."""
     offset, rows = page_bounds(page, per_page, most)
     total = F.col("total")
@@ -51,7 +52,7 @@ def page_rows(
     tie_break: Order,
     page: int,
     per_page: int,
-    most: int = MAX_PER_PAGE,
+    most: int | None = None,
     shallow: int = SHALLOW_ROWS,
 ) -> DataFrame:
     """Rows of one page.
@@ -67,7 +68,7 @@ def page_rows(
     return wanted.select(*df.columns).orderBy(*sort_columns(order + tie_break))
 
 
-def page_after(df: DataFrame, last_date, last_id, per_page: int, most: int = MAX_PER_PAGE) -> DataFrame:
+def page_after(df: DataFrame, last_date, last_id, per_page: int, most: int | None = None) -> DataFrame:
     """The page following a known last row: a filter and a small top-k at any depth."""
     _, rows = page_bounds(1, per_page, most)
     date, key = F.col("transaction_date"), F.col("transaction_id")
@@ -116,15 +117,16 @@ def transactions_page(
     flags: DataFrame,
     page: int = 1,
     per_page: int = 20,
+    most: int | None = None,
 ) -> Page:
     """One page of :func:`transactions_flagged`, newest first, with its totals.
 
     The page is cut before anything is joined (foreign keys are mandatory), so flags and dimensions
-    meet at most 100 rows and the transactions are scanned once for the page.
+    meet one page of rows and the transactions are scanned once for the page.
     """
-    chosen = page_rows(transactions, NEWEST, BY_ID, page, per_page)
+    chosen = page_rows(transactions, NEWEST, BY_ID, page, per_page, most)
     rows = _named(flagged_mark(chosen, flags), customers, products, stores)
-    return Page(rows.orderBy(*newest_first()), page_totals(transactions, page, per_page))
+    return Page(rows.orderBy(*newest_first()), page_totals(transactions, page, per_page, most))
 
 
 def resorted(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:

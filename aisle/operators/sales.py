@@ -19,11 +19,15 @@ LISTING_LIMIT = 500
 TOP_PRODUCTS_MAX = 20
 
 
-def checked_limit(limit: int, most: int | None = None) -> int:
-    """A row limit of at least 1, cut to ``most``."""
+def limited(rows: DataFrame, limit: int | None, most: int | None = None) -> DataFrame:
+    """The first ``limit`` rows, all for None. A limit below 1 or above a stated ``most`` is an error."""
+    if most is not None and (limit is None or limit > most):
+        raise ValueError(f"limit must be at most {most}")
+    if limit is None:
+        return rows
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    return limit if most is None else min(limit, most)
+    return rows.limit(limit)
 
 
 def with_category(products: DataFrame, categories: DataFrame | None = None) -> DataFrame:
@@ -116,18 +120,15 @@ def product_sales(transactions: DataFrame) -> DataFrame:
 def top_products(
     transactions: DataFrame,
     products: DataFrame,
-    limit: int = 10,
+    limit: int | None = 10,
     categories: DataFrame | None = None,
-    most: int | None = TOP_PRODUCTS_MAX,
+    most: int | None = None,
 ) -> DataFrame:
-    """Best sellers by revenue."""
+    """Best sellers by revenue; ``most`` is a limit that callers may not exceed."""
     named = with_category(products, categories).select("product_id", "product_name", "category_name")
-    return (
-        product_sales(transactions)
-        .join(named, "product_id")
-        .orderBy(F.desc("revenue"), "product_id")
-        .limit(checked_limit(limit, most))
-        .select("product_id", "product_name", "category_name", "units_sold", "revenue", "transaction_count")
+    best = product_sales(transactions).join(named, "product_id").orderBy(F.desc("revenue"), "product_id")
+    return limited(best, limit, most).select(
+        "product_id", "product_name", "category_name", "units_sold", "revenue", "transaction_count"
     )
 
 
@@ -137,10 +138,10 @@ def summary_top_products(
     start: Day,
     end: Day,
     categories: DataFrame | None = None,
-    limit: int = 5,
+    limit: int | None = 5,
 ) -> DataFrame:
     period = between_dates(transactions, start, end)
-    return top_products(period, products, limit, categories, most=None).drop("transaction_count")
+    return top_products(period, products, limit, categories).drop("transaction_count")
 
 
 def revenue_by_category(
@@ -233,7 +234,7 @@ def store_performance(stores: DataFrame, transactions: DataFrame) -> DataFrame:
 
 
 def summary_top_stores(
-    transactions: DataFrame, stores: DataFrame, start: Day, end: Day, limit: int = 5
+    transactions: DataFrame, stores: DataFrame, start: Day, end: Day, limit: int | None = 5
 ) -> DataFrame:
     """Best stores of the period by revenue."""
     per_store = (
@@ -241,11 +242,9 @@ def summary_top_stores(
         .groupBy("store_id")
         .agg(F.count("*").alias("transaction_count"), F.sum("total_amount").alias("revenue"))
     )
-    return (
-        per_store.join(stores.select("store_id", "store_name", "city", "region"), "store_id")
-        .orderBy(F.desc("revenue"), "store_id")
-        .limit(checked_limit(limit))
-        .select("store_id", "store_name", "city", "region", "transaction_count", "revenue")
+    best = per_store.join(stores.select("store_id", "store_name", "city", "region"), "store_id")
+    return limited(best.orderBy(F.desc("revenue"), "store_id"), limit).select(
+        "store_id", "store_name", "city", "region", "transaction_count", "revenue"
     )
 
 
@@ -333,10 +332,10 @@ def sales_detail(
     end: Day | None = None,
     store_id=None,
     category_id=None,
-    limit: int = LISTING_LIMIT,
+    limit: int | None = LISTING_LIMIT,
     enforced_keys: bool = True,
 ) -> DataFrame:
-    """The newest completed sales with their names.
+    """The newest completed sales with their names; all of them for ``limit=None``.
 
     The schema makes every foreign key of a transaction mandatory and enforced, so the newest rows
     can be chosen before the dimensions are joined: the joins then see ``limit`` rows. Pass
@@ -349,14 +348,14 @@ def sales_detail(
         if category_id is not None:
             of_category = matching(products, category_id=category_id).select("product_id")
             newest = newest.join(of_category, "product_id", "left_semi")
-        transactions = newest.orderBy(*newest_first()).limit(checked_limit(limit))
+        transactions = newest if limit is None else limited(newest.orderBy(*newest_first()), limit)
         options = {}
     rows = sales_rows(transactions, customers, products, stores, categories, category_id=category_id, **options)
-    return rows.orderBy(*newest_first()).limit(checked_limit(limit))
+    return limited(rows.orderBy(*newest_first()), limit)
 
 
 def sales_page_summary(sales: DataFrame) -> DataFrame:
-    """Revenue, rows, units and average of a listing; zeros for an empty one."""
+    """Revenue, rows, units and average of a whole listing; zeros for an empty one."""
     return sales.agg(
         F.coalesce(F.sum("total_amount"), F.lit(0)).alias("revenue"),
         F.count("*").alias("sales"),
@@ -365,14 +364,10 @@ def sales_page_summary(sales: DataFrame) -> DataFrame:
     )
 
 
-def top_products_by_name(sales: DataFrame, limit: int = 8) -> DataFrame:
-    """Revenue per product name of a listing."""
-    return (
-        sales.groupBy("product_name")
-        .agg(F.sum("total_amount").alias("revenue"))
-        .orderBy(F.desc("revenue"), "product_name")
-        .limit(checked_limit(limit))
-    )
+def top_products_by_name(sales: DataFrame, limit: int | None = 8) -> DataFrame:
+    """Revenue per product name of a whole listing."""
+    per_name = sales.groupBy("product_name").agg(F.sum("total_amount").alias("revenue"))
+    return limited(per_name.orderBy(F.desc("revenue"), "product_name"), limit)
 
 
 def employee_directory(employees: DataFrame, stores: DataFrame) -> DataFrame:

@@ -29,24 +29,20 @@ def dashboard(tables: Tables, as_of: Day | None = None) -> Report:
     }
 
 
-def sales_page(tables: Tables, start: Day, end: Day, store_id=None, category_id=None) -> Report:
-    """The newest sales of a period and its revenue by category."""
+def sales_page(
+    tables: Tables, start: Day, end: Day, store_id=None, category_id=None, limit: int | None = sales.LISTING_LIMIT
+) -> Report:
+    """The sales of a period: the newest ``limit`` as a listing (all for None), figures over all of them."""
     options = {"start": start, "end": end, "store_id": store_id, "category_id": category_id}
-    listing = sales.sales_detail(
-        tables["transactions"],
-        tables["customers"],
-        tables["products"],
-        tables["stores"],
-        tables["categories"],
-        **options,
-    )
+    parts = [tables[name] for name in ("transactions", "customers", "products", "stores", "categories")]
+    every = sales.sales_rows(*parts, **options)
     return {
-        "transactions": listing,
+        "transactions": sales.sales_detail(*parts, **options, limit=limit),
         "by_category": sales.revenue_by_category(
             tables["transactions"], tables["products"], tables["categories"], **options
         ),
-        "summary": sales.sales_page_summary(listing),
-        "top_products": sales.top_products_by_name(listing),
+        "summary": sales.sales_page_summary(every),
+        "top_products": sales.top_products_by_name(every),
     }
 
 

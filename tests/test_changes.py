@@ -46,13 +46,33 @@ def test_append_transactions_checks_and_totals(spark, shop):
 def test_append_without_a_required_column(spark):
     batch = spark.createDataFrame([("Kite", 1)], "product_name string, category_id int")
     found = changes.append_products(batch, at())
-    assert found.accepted.count() == 0 and rows_of(found.rejected, "problem") == ["missing price"]
+    assert found.accepted.count() == 0 and rows_of(found.rejected, "problem") == ["missing price"]  # the first of three
 
 
 def test_append_products_defaults(spark):
-    batch = spark.createDataFrame([("Kite", 1, 2.345, None, 4)], "product_name string, category_id int, price double, stock_quantity int, reorder_level int")
-    row = changes.append_products(batch, at()).accepted.first()
-    assert (row["price"], row["stock_quantity"], row["reorder_level"]) == (Decimal("2.35"), 0, 4)
+    batch = spark.createDataFrame(
+        [("Kite", 1, 2.345, 7, 4), ("Drum", 1, 2.0, None, 4), ("Ball", 9, 2.0, 1, 1), ("Gold", 1, 1e12, 1, 1)],
+        "product_name string, category_id int, price double, stock_quantity int, reorder_level int",
+    )
+    categories = spark.createDataFrame([(1,), (1,)], "category_id int")
+    found = changes.append_products(batch, at(), categories)
+    row = found.accepted.first()
+    assert found.accepted.count() == 1
+    assert (row["price"], row["stock_quantity"], row["reorder_level"]) == (Decimal("2.35"), 7, 4)
+    assert dict(rows_of(found.rejected, "product_name", "problem")) == {
+        "Drum": "missing stock_quantity", "Ball": "unknown category_id", "Gold": "price out of range",
+    }
+    assert found.rejected.columns == [*found.rejected.columns[:-1], "problem"] and "has_category_id" not in found.rejected.columns
+
+
+def test_sales_out_of_range_or_without_parents_are_refused_one_by_one(spark, shop):
+    batch = spark.createDataFrame(
+        [(1, 1, 1, 1, 2, 3.0, "cash"), (1, 1, 1, 1, 2_000_000_000, 99_999_999.0, "cash"), (1, 1, 1, 1, 1, 1e12, "cash"), (999, 1, 1, 1, 1, 1.0, "cash")],
+        SALE,
+    )
+    found = changes.append_transactions(batch, at(), shop)
+    assert found.accepted.count() == 1
+    assert sorted(rows_of(found.rejected, "problem")) == ["price out of range", "total out of range", "unknown customer_id"]
 
 
 def test_append_customers_unique_email(spark, shop):
@@ -65,6 +85,13 @@ def test_append_customers_unique_email(spark, shop):
     assert sorted(rows_of(found.rejected, "problem")) == ["email already stored", "email repeated in batch", "missing email"]
 
 
+def test_every_refused_customer_is_told_with_all_fields(spark, shop):
+    batch = spark.createDataFrame([("B", "x@y.z"), ("A", "x@y.z"), ("B", "x@y.z"), ("A", "x@y.z")], "name string, email string")
+    found = changes.append_customers(batch, shop["customers"], at())
+    assert rows_of(found.accepted, "name") == ["A"]
+    assert sorted(rows_of(found.rejected, "name")) == ["A", "B", "B"]
+
+
 def test_update_products_keeps_what_is_not_given(spark, shop):
     new = spark.createDataFrame([(1, None, 55.5), (2, "Bricks", None)], "product_id bigint, product_name string, price double")
     updated = changes.update_products(new, shop["products"])
@@ -76,10 +103,14 @@ def test_update_products_keeps_what_is_not_given(spark, shop):
 
 def test_repeated_changes_do_not_multiply_rows(spark, shop):
     new = spark.createDataFrame([(1, 5.0, 1), (1, 4.0, 2), (1, 3.0, 0)], "product_id bigint, price double, seq int")
-    for order, price in ((None, "5.00"), ("seq", "4.00")):
+    for order, price in ((None, "50.00"), ("seq", "4.00")):
         updated = changes.update_products(new.drop("seq") if order is None else new, shop["products"], order)
         assert updated.count() == 6
         assert rows_of(updated.filter("product_id = 1"), "price") == [Decimal(price)]
+    assert changes.repeated_changes(new.drop("seq"), "product_id").count() == 3
+    parts = spark.createDataFrame([(1, "new", None, 1), (1, None, 7, 2)], "product_id bigint, product_name string, stock_quantity int, seq int")
+    row = changes.update_products(parts, shop["products"], "seq").filter("product_id = 1").first()
+    assert (row["product_name"], row["stock_quantity"], row["price"]) == ("new", 7, Decimal("50.00"))
     moves = spark.createDataFrame([(1, "refunded", 1), (1, "cancelled", 2)], "transaction_id bigint, status string, seq int")
     updated = changes.update_status(moves, shop["transactions"], "seq")
     assert updated.count() == 14 and rows_of(updated.filter("transaction_id = 1"), "status") == ["cancelled"]
@@ -91,6 +122,11 @@ def test_resolve_and_status(spark, shop):
     new = spark.createDataFrame([(1, "refunded"), (2, "lost")], "transaction_id bigint, status string")
     status = dict(rows_of(changes.update_status(new, shop["transactions"]), "transaction_id", "status"))
     assert status[1] == "refunded" and status[2] == "completed" and len(status) == 14
+    more = new.unionByName(spark.createDataFrame([(99, "refunded"), (3, None)], new.schema))
+    assert dict(rows_of(changes.rejected_status(more, shop["transactions"]), "transaction_id", "problem")) == {
+        2: "unknown status", 3: "missing status", 99: "unknown transaction_id",
+    }
+    assert rows_of(changes.unknown_flags(ids, shop["fraud_flags"]), "flag_id") == [99]
 
 
 def test_cascades(spark, shop):

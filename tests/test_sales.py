@@ -58,7 +58,9 @@ def test_monthly_trend_is_ordered(shop):
 def test_top_products_breaks_ties_by_id_and_checks_limit(shop):
     found = rows_of(sales.top_products(shop["transactions"], shop["products"], 3, shop["categories"]), "product_id", "revenue")
     assert found == [(1, Decimal("10000.01")), (2, Decimal("4000.00")), (3, Decimal("40.00"))]
-    assert sales.top_products(shop["transactions"], shop["products"], 50, shop["categories"]).count() == 5
+    assert sales.top_products(shop["transactions"], shop["products"], None, shop["categories"]).count() == 5
+    with pytest.raises(ValueError):
+        sales.top_products(shop["transactions"], shop["products"], 50, shop["categories"], most=sales.TOP_PRODUCTS_MAX)
     with pytest.raises(ValueError):
         sales.top_products(shop["transactions"], shop["products"], 0, shop["categories"])
 
@@ -185,7 +187,9 @@ def test_pages_cover_everything_once(shop):
     assert rows_of(page.totals) == [(4, 4, 14, 4, 13, 14)]
     with pytest.raises(ValueError):
         paging.page_bounds(1, 0)
-    assert paging.page_bounds(0, 500) == (0, 100)
+    assert paging.page_bounds(0, 500) == (0, 500)
+    with pytest.raises(ValueError):
+        paging.page_bounds(1, 500, paging.MAX_PER_PAGE)
 
 
 def test_deep_page_and_key_page_agree_with_offset(shop):
