@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aisle.catalog.fraud import LINE_LIMITS, RULES_SQL, flags
@@ -79,14 +82,29 @@ def table_counts(w):
     return tables.table_counts({name: w.raw(name) for name in RAW_TABLES})
 
 
-@query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer", model="")
+SEED_AMOUNTS = {
+    "region": "r_regionkey", "nation": "n_nationkey", "supplier": "s_nationkey", "customer": "c_acctbal",
+    "orders": "o_totalprice", "lineitem": "l_extendedprice", "events": "value",
+}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", COUNT(*) AS n, CAST(SUM(CAST({column} AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM {name}"
+    for name, column in SEED_AMOUNTS.items()
+), model="")
 def load_seed(w):
-    """Tables exported as CSV and bulk-loaded again."""
+    """Dimension and fact tables exported as CSV and bulk-loaded again: rows and sums of each."""
     source, target = scratch_path(w.spark, "seed"), scratch_path(w.spark, "tables")
-    schemas = {name: SCHEMAS[name] for name in ("region", "nation", "supplier", "customer")}
+    schemas = {name: SCHEMAS[name] for name in SEED_AMOUNTS}
     for name in schemas:
         w.raw(name).write.option("header", True).csv(f"{source}/{name}")
-    return tables.load_seed(w.spark, source, target, schemas=schemas)["customer"]
+    loaded = tables.load_seed(w.spark, source, target, schemas=schemas)
+    sums = [
+        df.agg(F.count("*").alias("n"), F.sum(F.col(SEED_AMOUNTS[name]).cast("decimal(18,2)")).cast("double").alias("amount"))
+        .select(F.lit(name).alias("table"), "n", "amount")
+        for name, df in loaded.items()
+    ]
+    return reduce(DataFrame.unionByName, sums)
 
 
 @query("""
@@ -97,7 +115,8 @@ def stored_months(w):
     """Half a year read back from the by-month layout; the other months' folders are not opened."""
     path = scratch_path(w.spark, "transactions")
     tables.write_transactions(w.completed(), path)
-    stored = w.spark.read.parquet(path).filter(F.col("month").cast("string").between("2000-01", "2000-06"))
+    fields = "transaction_id string, total_amount decimal(12,2), month string"
+    stored = w.spark.read.schema(fields).parquet(path).filter(F.col("month").cast("string").between("2000-01", "2000-06"))
     return stored.groupBy(F.col("month").cast("string").alias("month")).agg(
         F.count("*").alias("sales"), F.sum("total_amount").alias("revenue")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from aisle.catalog.fraud import EVENT_LIMITS
 from aisle.catalog.registry import query
 from aisle.session import scratch_path
@@ -9,11 +11,27 @@ from aisle.sources.warehouse import SCHEMAS, event_transactions
 from aisle.streaming import arrivals
 
 
+LEAST_BATCHES = 3
+BATCH_ROWS = 1_000_000
+
+
+def arrival_files(w) -> str:
+    """The events as files in order of arrival, one after another, each a batch of a bounded size."""
+    events = w.raw("events")
+    low, high, rows = events.agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()
+    folder, parts = scratch_path(w.spark, "events"), max(LEAST_BATCHES, (rows or 0) // BATCH_ROWS + 1)
+    step = ((high or 0) - (low or 0)) // parts + 1
+    for part in range(parts):
+        start = (low or 0) + part * step
+        arrived = events.filter(F.col("event_id").between(start, start + step - 1))
+        arrived.repartition(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def replay(w, **options) -> str:
-    """Run the arrival writer over all events; returns the folder it wrote."""
-    events = (
-        w.spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events*.parquet").parquet(w.folder)
-    )
+    """Run the arrival writer over all events, a file per batch; returns the folder it wrote."""
+    source = w.spark.readStream.schema(SCHEMAS["events"]).option("maxFilesPerTrigger", 1)
+    events = source.parquet(arrival_files(w))
     folder = scratch_path(w.spark, "arrivals")
     arrivals.start_arrivals(event_transactions(events), folder, EVENT_LIMITS, **options).awaitTermination()
     return folder

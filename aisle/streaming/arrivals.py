@@ -18,6 +18,7 @@ from aisle.operators.inventory import sale_log, sold_units, subtract_sold
 from aisle.plans.neighbours import rows_after_close_arrival
 from aisle.plans.sizes import KEY_ROWS
 
+FILES_PER_DAY = 4
 HISTORY_COLUMNS = ["transaction_id", "customer_id", "transaction_date", "status"]
 HISTORY_SCHEMA = "transaction_id bigint, customer_id bigint, transaction_date timestamp_ntz, status string"
 
@@ -65,6 +66,11 @@ def rapid_arrivals(
     )
 
 
+def _by_day(rows: DataFrame) -> DataFrame:
+    """Rows of a day in at most FILES_PER_DAY tasks, so that a batch adds few files to a day."""
+    return rows.repartition("day", F.pmod(F.xxhash64("transaction_id"), F.lit(FILES_PER_DAY)))
+
+
 def _replace_batch(df: DataFrame, batch_id: int, path: str, partitions: tuple[str, ...] = ()) -> None:
     (
         df.withColumn("batch_id", F.lit(batch_id))
@@ -108,7 +114,7 @@ def arrival_writer(folder: str, limits: Thresholds = DEFAULT, *, rapid: bool = T
             if rapid:
                 history = f"{folder}/history"
                 rows = batch.select(*HISTORY_COLUMNS, F.to_date("transaction_date").alias("day"))
-                _replace_batch(rows, batch_id, history, ("day",))
+                _replace_batch(_by_day(rows), batch_id, history, ("day",))
                 earlier = _earlier_history(batch, batch_id, history, limits)
                 flags = flags.unionByName(rapid_arrivals(batch, earlier, limits))
             _replace_batch(flags, batch_id, f"{folder}/flags")
@@ -124,7 +130,11 @@ def arrival_writer(folder: str, limits: Thresholds = DEFAULT, *, rapid: bool = T
 def start_arrivals(
     transactions: DataFrame, folder: str, limits: Thresholds = DEFAULT, *, rapid: bool = True, stock: bool = True
 ) -> StreamingQuery:
-    """Process all available transactions of a stream, then stop."""
+    """Process all available transactions of a stream, then stop.
+
+    The source sets the size of a batch (``maxFilesPerTrigger`` or ``maxBytesPerTrigger``); a batch is persisted
+    while it is written and its days are listed, so the backlog must not come as one.
+    """
     return (
         transactions.writeStream.foreachBatch(arrival_writer(folder, limits, rapid=rapid, stock=stock))
         .option("checkpointLocation", f"{folder}/progress")

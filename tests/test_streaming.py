@@ -1,13 +1,17 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
+from aisle.catalog import streams
 from aisle.operators import inventory
 from aisle.operators.fraud import row_rule_flags
+from aisle.sources.warehouse import Warehouse
 from aisle.streaming import arrivals
 
 COLUMNS = ["transaction_id", "customer_id", "product_id", "store_id", "quantity", "total_amount", "transaction_date", "status"]
@@ -51,6 +55,13 @@ def replay(sales, folder, batches, **options):
         write(batch, number)
 
 
+@pytest.mark.skipif(not Path(contract.SMOKE_FOLDER).is_dir(), reason="the warehouse files are not here")
+def test_registered_replays_take_several_batches(spark):
+    folder = streams.replay(Warehouse(spark, contract.SMOKE_FOLDER), stock=False)
+    batches = spark.read.parquet(f"{folder}/history").select("batch_id").distinct().count()
+    assert batches >= streams.LEAST_BATCHES
+
+
 def test_batches_equal_one_pass_and_repeats_change_nothing(spark, sales, shop, tmp_path):
     parts = [sales.filter(F.col("transaction_id").between(a, a + 79)) for a in (0, 80, 160)]
     replay(sales, tmp_path, parts)
