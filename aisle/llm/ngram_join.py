@@ -6,9 +6,9 @@
    shingles occurs and hands on those in two or more. Two sets with similarity t share a shingle among the
    first n - ceil(t n) + 1 of each, in any common order; in the order of rising frequency the shingles of one
    class alone come first, so a class with enough of its own has no partner and is done.
-3. Of the rest, the classes that share a prefix shingle stand together. First each is compared with one leader
-   of its shingles, which ties large groups together with one comparison per class. Then a signature tree per
-   shingle (nodes with OR- and AND-combined bitmaps, size ranges and known groups) is traversed against itself:
+3. Of the rest, the classes that share a prefix shingle stand together. First each is compared with the leader
+   that most of its shingles name, and with one class of another group, which ties large groups together with
+   two comparisons per class. Then a signature tree per shingle (nodes with OR- and AND-combined bitmaps, size ranges and known groups) is traversed against itself:
    a pair of nodes is left out when its sizes, its largest possible overlap, or a common known group rule out a
    new link.
 4. Candidate pairs are checked exactly on their shared shingles, and components are taken over the links.
@@ -315,7 +315,8 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     Rows of a shingle stand together, in order, in one partition and are read as a stream.
     """
-    sorted_rows = rows.repartition("shingle").sortWithinPartitions("shingle")
+    columns = ("shingle", "set_id", "n", "n_shared", "known", "bitmap")
+    sorted_rows = rows.select(*columns).repartition("shingle").sortWithinPartitions("shingle")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(part: pa.Table) -> pa.RecordBatch | None:
@@ -362,35 +363,48 @@ def links(docs: DataFrame, table: DataFrame, percent: int = PERCENT, words: int
     total = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bits = max(LEAST_BUCKETS, total // BUCKET_SHINGLES + 1).bit_length()
     sets = stored(_prefixes(_shared(_packed(docs, bits, words)), percent), "shingle-sets")
-    narrow = sets.select("set_id", F.explode("prefix").alias("shingle"))
-    heads = narrow.groupBy("shingle").agg(F.min("set_id").alias("leader"), F.count("*").alias("rows")).filter("rows > 1")
-    heads = stored(heads, "leaders")
-    voted = attach_groups(narrow, heads, "shingle", "rows", sets.count())
-    votes = voted.filter("set_id <> leader").groupBy("set_id", "leader").count()
-    chosen = votes.groupBy("set_id").agg(F.max_by("leader", F.struct("count", "leader")).alias("v"))
-    stars = stored(_verified(chosen.select(F.col("set_id").alias("u"), "v"), sets, percent), "star-links")
+    size = (F.length("hashes") / 8).cast("bigint")
+    # the leader of a shingle is the class with the smallest part of its own, such as the original of many copies
+    narrow = sets.select("set_id", (size / F.col("n")).alias("part"), F.explode("prefix").alias("shingle"))
+    heads = (
+        narrow.groupBy("shingle")
+        .agg(F.max_by("set_id", F.struct("part", "set_id")).alias("other"), F.count("*").alias("rows"))
+        .filter("rows > 1")
+    )
+    voted = attach_groups(narrow, stored(heads, "leaders"), "shingle", "rows", sets.count())
+    stars = stored(_most_voted(voted, sets, percent), "star-links")
     # a class is known by its leader, or by its leader's leader
     upper = stars.select(F.col("u").alias("v"), F.col("v").alias("top"))
     known = stars.join(upper, "v", "left").select(F.col("u").alias("set_id"), F.coalesce("top", "v").alias("known"))
-    described = sets.join(known, "set_id", "left").select(
-        "set_id",
-        "n",
-        (F.length("hashes") / 8).cast("bigint").alias("n_shared"),
-        F.coalesce("known", "set_id").alias("known"),
-        "bitmap",
-        "prefix",
-    )
+    base = sets.select("set_id", "n", size.alias("n_shared"), "bitmap", "prefix")
+    crossing = _crossing(base, known)
+    other = F.when(F.col("known") == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    second = stored(_most_voted(crossing.withColumn("other", other), sets, percent), "star-links")
+    stars = stars.unionByName(second)
+    grouped = components(stars).select(F.col("vertex").alias("set_id"), F.col("component").alias("known"))
+    more = _verified(stored(_tree_pairs(_crossing(base, grouped), percent), "candidates"), sets, percent)
+    return stars.unionByName(more)
+
+
+def _most_voted(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of each class to the ``other`` that most of its shingles name: one comparison per class."""
+    votes = rows.filter("set_id <> other").groupBy("set_id", "other").count()
+    chosen = votes.groupBy("set_id").agg(F.max_by("other", F.struct("count", "other")).alias("v"))
+    return _verified(chosen.select(F.col("set_id").alias("u"), "v"), sets, percent)
+
+
+def _crossing(base: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (shingle, set_id, n, n_shared, known, bitmap, low, high) of the shingles that several known groups
+    share; a class in no group is known by itself, and low and high are the outer groups of a shingle."""
+    described = base.join(known, "set_id", "left").withColumn("known", F.coalesce("known", "set_id"))
     described = stored(described, "described")
     rows = described.select("set_id", "n", "n_shared", "known", "bitmap", F.explode("prefix").alias("shingle"))
     mixed = (
         rows.groupBy("shingle")
         .agg(F.min("known").alias("low"), F.max("known").alias("high"), F.count("*").alias("rows"))
         .filter("low < high")
-        .select("shingle", "rows")
     )
-    crossing = attach_groups(rows, mixed, "shingle", "rows", described.count())
-    more = _verified(stored(_tree_pairs(crossing, percent), "candidates"), sets, percent)
-    return stars.unionByName(more)
+    return attach_groups(rows, mixed, "shingle", "rows", described.count())
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
