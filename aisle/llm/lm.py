@@ -14,6 +14,7 @@ to where their counts are, and get sums of logarithms back.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -33,6 +34,8 @@ NOISE = 20
 ROUNDS = 300
 LEAST_BUCKETS = 64
 DOCS_PER_BUCKET = 4000
+CHECK_EVERY = 10  # one training text in so many is kept to check the model
+PRIOR = 20.0  # pairs by frequency that every context starts from
 BLOCK = 16  # contexts whose counts travel together
 END = 0  # the key of the end; no word has it
 _LOW = np.uint64(ENDINGS - 1)
@@ -179,21 +182,24 @@ def _contexts(classes: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
     return before
 
 
-def pair_counts(training: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """How often each class follows each class, over all training texts; a table of fixed size."""
+def pair_counts(training: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """How often each class follows each class, over all training texts: a table of fixed size to learn from and
+    one, of every CHECK_EVERYth text by its hash, to stop and weigh the model by."""
     size = len(vocabulary.keys) + ENDINGS
     end = int(np.searchsorted(vocabulary.keys, END))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = _WordKeys(), np.zeros(size * size, "<i8")
+        known, table = _WordKeys(), np.zeros(2 * size * size, "<i8")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for start, stop in batches_by_size(texts, 16_000_000):
                 keys, lengths = token_keys(texts[start:stop], known)
                 classes, _ = classes_of(keys, vocabulary)
-                np.add(table, np.bincount(_contexts(classes, lengths, end) * size + classes, minlength=size * size), out=table)
-        cut = table.reshape(size, size)
-        blocks = [(i // BLOCK, cut[i : i + BLOCK]) for i in range(0, size, BLOCK) if cut[i : i + BLOCK].any()]
+                check = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % CHECK_EVERY == 0 for t in texts[start:stop]]
+                row = _contexts(classes, lengths, end) + size * np.repeat(np.asarray(check, int), lengths)
+                np.add(table, np.bincount(row * size + classes, minlength=len(table)), out=table)
+        cut = table.reshape(2 * size, size)
+        blocks = [(i // BLOCK, cut[i : i + BLOCK]) for i in range(0, 2 * size, BLOCK) if cut[i : i + BLOCK].any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([b for b, _ in blocks], pa.int32()), pa.array([x.tobytes() for _, x in blocks], pa.binary())], ["block", "counts"]
         )
@@ -204,34 +210,44 @@ def pair_counts(training: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
 
     kind = "block int, counts binary"
     blocks = training.select(text_of().alias("text")).mapInArrow(run, kind).groupBy("block").applyInArrow(add, kind)
-    counts = np.zeros((size, size))
-    for row in blocks.collect():  # size / BLOCK rows
+    counts = np.zeros((2 * size, size))
+    for row in blocks.collect():  # 2 x size / BLOCK rows
         part = np.frombuffer(bytes(row["counts"]), "<i8").reshape(-1, size)
         counts[row["block"] * BLOCK : row["block"] * BLOCK + len(part)] = part
-    return counts
+    return counts[:size], counts[size:]
 
 
 class LogBilinear(NamedTuple):
-    """score(context c, class w) = (contexts[c] @ mixing) . targets[w] + bias[w]"""
+    """score(context c, class w) = (contexts[c] @ mixing) . targets[w] + bias[w], normalised over classes, and mixed
+    with the frequencies of the classes by ``share``."""
 
     contexts: np.ndarray
     mixing: np.ndarray
     targets: np.ndarray
     bias: np.ndarray
+    share: float
+    frequencies: np.ndarray
 
-    def log10_probabilities(self) -> np.ndarray:
-        """Normalised over classes, for every context."""
+    def own(self) -> np.ndarray:
+        """Probabilities of the bilinear part, for every context."""
         score = (self.contexts @ self.mixing) @ self.targets.T + self.bias
-        score -= score.max(axis=1, keepdims=True)
-        return ((score - np.log(np.exp(score).sum(axis=1, keepdims=True))) / np.log(10)).astype("f4")
+        score = np.exp(score - score.max(axis=1, keepdims=True))
+        return score / score.sum(axis=1, keepdims=True)
+
+    def log10_probabilities(self) -> np.ndarray:
+        return np.log10(self.share * self.own() + (1 - self.share) * self.frequencies)
 
 
-def train(counts: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE, rounds: int = ROUNDS, seed: int = 0) -> LogBilinear:
+def train(
+    counts: np.ndarray, check: np.ndarray | None = None, dimensions: int = DIMENSIONS, noise: int = NOISE, rounds: int = ROUNDS, seed: int = 0
+) -> LogBilinear:
     """Noise-contrastive estimation with ``noise`` draws from the class frequencies per observed pair, in
-    expectation over the table of pairs; Adam steps."""
+    expectation over the table of pairs; Adam steps. Pairs of ``check`` decide when to stop and how much of the
+    class frequencies to mix in, so that few texts are not learnt by heart."""
+    check = counts if check is None or not check.any() else check
     size = len(counts)
     draw = np.random.default_rng(seed)
-    q = (counts.sum(axis=0) + 1.0) / (counts.sum() + size)
+    q = (counts.sum(axis=0) + check.sum(axis=0) + 0.5) / (counts.sum() + check.sum() + 0.5 * size)
     spread = dimensions**-0.5
     values = [
         draw.normal(0, spread, (size, dimensions)).astype("f4"),
@@ -240,15 +256,18 @@ def train(counts: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE,
         np.log(q).astype("f4"),
     ]
     if not counts.any():
-        return LogBilinear(*values)
-    # contexts weigh by the root of their frequency, so that rare ones are learnt too
-    weight = 1 / np.sqrt(np.maximum(counts.sum(axis=1, keepdims=True), 1))
+        return LogBilinear(*values, 0.0, q)
+    # each context starts from PRIOR pairs drawn by the frequencies, and weighs by the root of its pairs
+    held = counts.sum(axis=1, keepdims=True)
+    weight = np.where(held > 0, 1 / np.sqrt(np.maximum(held, 1)), 0)
     weight /= (counts * weight).sum()
-    positive = (counts * weight * size).astype("f4")
-    negative = (noise * (counts.sum(axis=1, keepdims=True) * weight * size) * q).astype("f4")
+    positive = ((counts + PRIOR * q) * weight * size).astype("f4")
+    negative = (noise * (held + PRIOR) * weight * size * q).astype("f4")
     shift = np.log(noise * q).astype("f4")
     first = [np.zeros_like(v) for v in values]
     second = [np.zeros_like(v) for v in values]
+    best, top = None, -np.inf
+    shares = np.linspace(0, 0.98, 50)
     for step in range(1, rounds + 1):
         contexts, mixing, targets, bias = values
         predicted = contexts @ mixing
@@ -262,7 +281,14 @@ def train(counts: np.ndarray, dimensions: int = DIMENSIONS, noise: int = NOISE,
             m += 0.1 * (g - m)
             s += 0.01 * (g * g - s)
             value += rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    return LogBilinear(*values)
+        if step % 20 == 0 or step == rounds:
+            model = LogBilinear(*[v.copy() for v in values], 1.0, q)
+            seen = np.nonzero(check)
+            own, times, common = model.own()[seen], check[seen], q[seen[1]]
+            told = [(times * np.log(share * own + (1 - share) * common)).sum() for share in shares]
+            if max(told) > top:
+                best, top = model._replace(share=float(shares[int(np.argmax(told))])), max(told)
+    return best
 
 
 def _rare_requests(docs: DataFrame, vocabulary: Vocabulary, bits: int) -> DataFrame:
@@ -386,7 +412,7 @@ def score(docs: DataFrame, divisor: int = 5, left_out: int = 1) -> DataFrame:
     bits = (wanted - 1).bit_length()
     counts = stored(token_counts(training, bits), "token-counts")
     vocabulary = frequent_tokens(counts)
-    model = train(pair_counts(training, vocabulary))
+    model = train(*pair_counts(training, vocabulary))
     part = stored(_frequent_part(split, vocabulary, model), "frequent-part")
     sums = _rare_sums(_rare_requests(split, vocabulary, bits), counts)
     copies = part.filter("n_rare > 0").groupBy("text_key").agg(F.count("*").alias("copies"))
