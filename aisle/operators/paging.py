@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aisle.operators.sales import newest_first, with_dimensions
@@ -58,14 +59,20 @@ def page_rows(
     """Rows of one page.
 
     Near the start a bounded top-k with an offset suffices. A deep page would make that top-k hold
-    everything before it, so there the rows are numbered across range partitions and filtered.
+    everything before it, so there the columns of the order are numbered across range partitions, and
+    the page's whole rows are fetched last by its keys, which are as few as the page. ``order`` and
+    ``tie_break`` together must tell rows apart.
     """
     offset, rows = page_bounds(page, per_page, most)
+    by = order + tie_break
     if offset + rows <= shallow:
-        return df.orderBy(*sort_columns(order + tie_break)).offset(offset).limit(rows)
-    numbered = spread_positions(df, order, tie_break)
+        return df.orderBy(*sort_columns(by)).offset(offset).limit(rows)
+    names = [c for c, _ in by]
+    numbered = spread_positions(df.select(*names), order, tie_break)
     wanted = numbered.filter(F.col("row_no").between(offset + 1, offset + rows))
-    return wanted.select(*df.columns).orderBy(*sort_columns(order + tie_break))
+    keys = F.broadcast(wanted.select(*[F.col(c).alias(f"page_{c}") for c in names]))
+    same = [F.col(c).eqNullSafe(F.col(f"page_{c}")) for c in names]
+    return df.join(keys, reduce(Column.__and__, same), "left_semi").orderBy(*sort_columns(by))
 
 
 def page_after(df: DataFrame, last_date, last_id, per_page: int, most: int | None = None) -> DataFrame:
