@@ -65,18 +65,18 @@ def reason_text(rule: str, limits: Thresholds, product_name: Column | None = Non
     amount = money_text(F.col("total_amount"))
     if rule == HIGH_AMOUNT:
         return F.concat(
-            F.lit("High transaction amount: $"), amount, F.lit(f" exceeds ${limits.high_amount} threshold")
+            F.lit(f"{PREFIX[HIGH_AMOUNT]}: $"), amount, F.lit(f" exceeds ${limits.high_amount} threshold")
         )
     if rule == RAPID:
         return F.concat(
-            F.lit("Rapid successive transaction: customer #"),
+            F.lit(f"{PREFIX[RAPID]}: customer #"),
             F.col("customer_id").cast("string"),
             F.lit(f" made multiple purchases within {limits.rapid_seconds} seconds"),
         )
     if rule == LATE_NIGHT:
         at = clock_text(F.col("transaction_date"))
-        return F.concat(F.lit("Late-night high-value transaction: $"), amount, F.lit(" at "), at)
-    start = F.concat(F.lit("Unusual quantity: "), F.col("quantity").cast("string"))
+        return F.concat(F.lit(f"{PREFIX[LATE_NIGHT]} transaction: $"), amount, F.lit(" at "), at)
+    start = F.concat(F.lit(f"{PREFIX[QUANTITY]}: "), F.col("quantity").cast("string"))
     if product_name is None:
         return F.concat(start, F.lit(" units in a single transaction"))
     return F.concat(start, F.lit(' units of "'), product_name, F.lit('" in single transaction'))
