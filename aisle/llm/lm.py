@@ -37,6 +37,9 @@ DOCS_PER_BUCKET = 4000
 CHECK_EVERY = 10  # one training text in so many is kept to check the model
 PRIOR = 20.0  # pairs by frequency that every context starts from
 BLOCK = 16  # contexts whose counts travel together
+BATCH_CHARS = 6_000_000  # texts of so many characters, or one longer text, are counted at a time
+REMEMBERED = 250_000  # words whose keys a worker keeps
+HELD_KEYS = 1_500_000  # distinct words of the batches that a worker adds up before it sends them
 END = 0  # the key of the end; no word has it
 _LOW = np.uint64(ENDINGS - 1)
 
@@ -47,7 +50,7 @@ class _WordKeys(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         ending = xxhash.xxh3_64_intdigest(word.rstrip(b".,;:!?")[-2:]) & (ENDINGS - 1)
         value = self[word] = (xxhash.xxh3_64_intdigest(word) | 1 << 63) & ~(ENDINGS - 1) | ending
@@ -98,11 +101,11 @@ def token_counts(training: DataFrame, bits: int) -> DataFrame:
 
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for start, end in batches_by_size(texts, 16_000_000):
+            for start, end in batches_by_size(texts, BATCH_CHARS):
                 keys, _ = token_keys(texts[start:end], known)
                 held.append(np.unique(keys, return_counts=True))
                 size += len(held[-1][0])
-                if size > 3_000_000:
+                if size > HELD_KEYS:
                     yield send()
                     held.clear()
                     size = 0
@@ -192,7 +195,7 @@ def pair_counts(training: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray
         known, table = _WordKeys(), np.zeros(2 * size * size, "<i8")
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for start, stop in batches_by_size(texts, 16_000_000):
+            for start, stop in batches_by_size(texts, BATCH_CHARS):
                 keys, lengths = token_keys(texts[start:stop], known)
                 classes, _ = classes_of(keys, vocabulary)
                 check = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % CHECK_EVERY == 0 for t in texts[start:stop]]
@@ -300,7 +303,7 @@ def _rare_requests(docs: DataFrame, vocabulary: Vocabulary, bits: int) -> DataFr
         known = _WordKeys()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for start, end in batches_by_size(texts, 16_000_000):
+            for start, end in batches_by_size(texts, BATCH_CHARS):
                 distinct = {xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")): t for t in texts[start:end]}
                 keys, lengths = token_keys(list(distinct.values()), known)
                 _, rare = classes_of(keys, vocabulary)
@@ -372,7 +375,7 @@ def _frequent_part(docs: DataFrame, vocabulary: Vocabulary, model: LogBilinear)
         seen = np.r_[vocabulary.counts > 0, np.zeros(ENDINGS, bool)].astype("i8")
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for start, stop in batches_by_size(texts, 16_000_000):
+            for start, stop in batches_by_size(texts, BATCH_CHARS):
                 part = texts[start:stop]
                 keys, lengths = token_keys(part, known)
                 classes, rare = classes_of(keys, vocabulary)
