@@ -31,6 +31,8 @@ WORDS = 5
 PERCENT = 80
 BUCKET_SHINGLES = 1 << 20
 LEAST_BUCKETS = 128
+PACKED_CHARS = 8_000_000  # texts of so many characters, or one longer text, are packed at a time
+REMEMBERED = 250_000  # words whose hashes a worker keeps
 LEAF = 16
 FAN_OUT = 4
 BITS = 512
@@ -44,7 +46,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -115,7 +117,7 @@ def _packed(docs: DataFrame, bits: int, words: int) -> DataFrame:
         known = _WordHashes()
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for start, end in batches_by_size(texts, 16_000_000):
+            for start, end in batches_by_size(texts, PACKED_CHARS):
                 classes = {set_key(s): s for s in shingle_sets(texts[start:end], known, words)}
                 classes.pop(None, None)
                 if not classes:
