@@ -8,9 +8,9 @@
    class alone come first, so a class with enough of its own has no partner and is done.
 3. Of the rest, the classes that share a prefix shingle stand together. First each is compared with the leader
    that most of its shingles name, and with one class of another group, which ties large groups together with
-   two comparisons per class. Then a signature tree per shingle (nodes with OR- and AND-combined bitmaps, size ranges and known groups) is traversed against itself:
-   a pair of nodes is left out when its sizes, its largest possible overlap, or a common known group rule out a
-   new link.
+   two comparisons per class. Then a signature tree per shingle (nodes with OR- and AND-combined bitmaps,
+   size ranges and known groups) is traversed against itself: a pair of nodes is left out when its sizes, its
+   largest possible overlap, or a common known group rule out a new link.
 4. Candidate pairs are checked exactly on their shared shingles, and components are taken over the links.
 """
 
