@@ -231,6 +231,45 @@ def test_license_scan_matches_a_plain_scan(spark):
         assert sorted(found[i]) == sorted(plain_licenses(text or ""))
 
 
+def best_windows(text: str, name: str) -> float:
+    """The highest Dice coefficient of any words in a row, by trying all."""
+    split = lambda value: re.sub(r"[\W_]+", " ", value.lower()).split()
+    words, known = split(text), set(zip(split(licenses.TEMPLATES[name]), split(licenses.TEMPLATES[name])[1:], strict=False))
+    best = 0.0
+    for i in range(len(words)):
+        mine = set()
+        for pair in zip(words[i:], words[i + 1 :], strict=False):
+            mine.add(pair)
+            best = max(best, 2 * len(mine & known) / (len(mine) + len(known)))
+    return best
+
+
+def test_license_windows_are_found_inside_long_documents(spark):
+    import textwrap
+
+    long = "\n".join(f"{PROSE} line {i}" for i in range(30))
+    wrapped = {name: "\n".join(f" * {x}" for x in textwrap.wrap(licenses.TEMPLATES[name], 60)) for name in ("Apache-2.0-header", "MIT-grant", "ISC", "GPL-3.0-header", "MPL-2.0")}
+    texts = [f"{long}\n{w}\n{long}" for w in wrapped.values()]
+    one_line = long.replace("\n", " ")
+    texts += [f"{long}\n{one_line} {licenses.TEMPLATES[name]} {one_line}" for name in wrapped]
+    names = [*wrapped, *wrapped]
+    texts += [
+        f"{PROSE} Released under the MIT License, {PROSE}\n{PROSE} licensed under CC BY-NC 4.0 {PROSE}",
+        f"{long}\n{licenses.TEMPLATES['ISC'].replace('fee', 'any fee').replace('copy,', 'copy it,')} {PROSE}",
+        f"{PROSE} {'work work ' * 500}{licenses.TEMPLATES['MPL-2.0'].replace('Public', 'Public ' * 900)} {PROSE}",
+        long,
+    ]
+    found: dict[int, list] = {i: [] for i in range(len(texts))}
+    for r in rows(licenses.scan_licenses(table(spark, texts))):
+        found[r["doc_id"]].append((r["segment"], r["license"], round(r["dice"], 9)))
+    for i, name in enumerate(names):
+        assert (31, name, 1.0) in found[i]
+    assert sorted(found[10]) == [(1, "MIT", 1.0), (2, "CC-BY-NC-4.0", 1.0)]
+    assert found[11] == [(31, "ISC", round(best_windows(texts[11], "ISC"), 9))] and found[11][0][2] < 1
+    assert found[12] == [(1, "MPL-2.0", round(best_windows(texts[12], "MPL-2.0"), 9))]
+    assert found[13] == []
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
