@@ -3,8 +3,8 @@
 A text is read as tokens: runs of non-white characters, runs longer than PIECE cut into pieces of it.
 Every K consecutive tokens are a k-mer; its inner substrings are the K-S+1 runs of S tokens. The k-mer is
 a closed syncmer when the smallest inner hash is the first or the last of them. That depends on nothing
-outside the k-mer, so the same passage gives the same anchors wherever it stands. The fingerprint is the
-SKETCH smallest distinct hashes of a text's syncmers.
+outside the k-mer, so the same passage gives the same anchors wherever it stands. The fingerprint is all of a
+text's anchors in order, and likeness is that of the full sets of their hashes, whatever the length of the text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from aisle.plans.positions import positions
 
 K, S = 5, 2
 PIECE = 12
-SKETCH = 64
 
 
 def tokens(text: Column) -> Column:
@@ -53,31 +52,28 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return let(tokens(text), found)
 
 
-def sketch(found: Column, most: int = SKETCH) -> Column:
-    """The ``most`` smallest distinct hashes of the anchors, ascending."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda x: x["hash"]))), 1, most)
+def hashes(found: Column) -> Column:
+    """All distinct hashes of the anchors."""
+    return F.array_distinct(F.transform(found, lambda x: x["hash"]))
 
 
-def shown(values: Column) -> Column:
-    """A sketch as a string of eight hex digits a hash; empty for a text without tokens."""
-    low = lambda x: x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.array_join(F.transform(values, lambda x: F.lower(F.lpad(F.hex(low(x)), 8, "0"))), "")
-
+def shown(found: Column) -> Column:
+    """Anchors as a string of place:hash in text order, both hexadecimal; empty for a text without tokens."""
+    return F.array_join(
+        F.transform(found, lambda x: F.concat(F.lower(F.hex(x["at"])), F.lit(":"), F.lower(F.lpad(F.hex(x["hash"].cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))), ","
+    )
 
-def likeness(a: Column, b: Column, most: int = SKETCH) -> Column:
-    """Estimated Jaccard index of two sketches; exact when both texts have at most ``most`` syncmers.
 
-    Two empty sketches are alike (1.0), an empty and another one are not (0.0).
-    """
-    lowest = F.slice(F.array_sort(F.array_union(a, b)), 1, most)
-    shared = let(lowest, lambda low: F.size(F.array_intersect(F.array_intersect(a, b), low)) / F.size(low))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.coalesce(shared, F.lit(0.0)))
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard index of two sets of hashes. Two empty ones are alike (1.0), an empty and another one are not (0.0)."""
+    shared = let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, anchors and sketch of every document."""
+    """doc_id, anchors and the distinct hashes of every document."""
     found = docs.select("doc_id", anchors(text_of()).alias("anchors"))
-    return found.withColumn("sketch", sketch(F.col("anchors")))
+    return found.withColumn("hashes", hashes(F.col("anchors")))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -90,17 +86,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     not read.
 
     Ids are numbered over range partitions, never in one window. Texts move once, by their own key; what
-    moves to the neighbour is the start of a text, cut to what the neighbour needs.
+    moves to the neighbour is the start of a text, cut to what the neighbour needs, and the text's hashes.
     """
     text = text_of()
     base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
-    known = stored(
-        base.select(
-            "doc_id", "text_key", F.length("text").cast("bigint").alias("n_chars"), sketch(anchors(F.col("text"))).alias("sketch")
-        ),
-        "sketches",
-    )
-    single = known.groupBy("doc_id", "text_key").agg(F.first("n_chars").alias("n_chars"))
+    single = base.groupBy("doc_id", "text_key").agg(F.first(F.length("text").cast("bigint")).alias("n_chars"))
     numbered = stored(
         positions(single, [("doc_id", False)], [("text_key", True)], spread=True).select(
             "doc_id", "text_key", "n_chars", "row_no", "group_rows"
@@ -115,15 +105,6 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         .join(following, "next_no")
         .select("doc_id", "text_key", "next_id", "next_key", F.expr("n_chars div 3").alias("cut"))
     )
-    distinct = known.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", "sketch")
-    next_sketch = distinct.select(
-        F.col("doc_id").alias("next_id"), F.col("text_key").alias("next_key"), F.col("sketch").alias("next_sketch")
-    )
-    links = (
-        _match(_match(order, distinct, "doc_id", "text_key"), next_sketch, "next_id", "next_key")
-        .withColumn("near_next", likeness(F.col("sketch"), F.col("next_sketch")))
-        .select("doc_id", "text_key", "cut", "near_next")
-    )
     wanted = order.select(
         F.col("next_id").alias("doc_id"),
         F.col("next_key").alias("text_key"),
@@ -133,34 +114,32 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     )
     starts = (
         _match(base, wanted, "doc_id", "text_key")
-        .select(F.col("for_id").alias("doc_id"), F.col("for_key").alias("text_key"), F.expr("substring(text, 1, int(cut))").alias("start"))
+        .select(F.col("for_id").alias("doc_id"), F.col("for_key").alias("text_key"), F.expr("substring(text, 1, int(cut))").alias("start"), "cut", hashes(anchors(F.col("text"))).alias("next_hashes"))
         .dropDuplicates(["doc_id", "text_key"])
     )
-    joined = _match(_match(base, links, "doc_id", "text_key"), starts, "doc_id", "text_key")
+    joined = _match(base, starts, "doc_id", "text_key")
     edited = joined.select(
         "doc_id",
-        "text",
-        "near_next",
+        "next_hashes",
         F.length("text").cast("bigint").alias("n_chars"),
+        "text",
         F.concat(F.expr("substring(text, 1, int(length(text) - cut))"), F.col("start")).alias("edited"),
     )
-    sketched = edited.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        sketch(anchors(F.col("text"))).alias("own"),
-        sketch(anchors(F.col("edited"))).alias("changed"),
-        "near_next",
-    )
-    return sketched.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        shown(F.col("own")).alias("fingerprint"),
-        shown(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-        "near_next",
-    )
+
+    def compared(own: Column, changed: Column) -> Column:
+        near = lambda mine: F.struct(
+            shown(own).alias("fingerprint"),
+            shown(changed).alias("edited_fingerprint"),
+            let(hashes(changed), lambda other: likeness(mine, other)).alias("near_edited"),
+            likeness(mine, F.col("next_hashes")).alias("near_next"),
+        )
+        return let(hashes(own), near)
+
+    found = F.array(let(anchors(F.col("text")), lambda own: let(anchors(F.col("edited")), lambda changed: compared(own, changed))))
+    # the explode hands on a computed value, so that its fields are not each evaluated again
+    return edited.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(found).alias("found")
+    ).select("doc_id", "n_chars", "edited_sha256", "found.*")
 
 
 def _match(left: DataFrame, right: DataFrame, document: str, key: str) -> DataFrame:

@@ -123,6 +123,20 @@ def test_repeated_rows_and_single_documents_have_a_next(spark):
     assert alone[0]["near_next"] == 1.0 and alone[0]["edited_sha256"] == hashlib.sha256(b"only one only").hexdigest()
 
 
+def test_long_texts_keep_all_anchors_and_their_exact_likeness(spark):
+    words = [f"w{i}" for i in range(6000)]
+    changed = [*words[:2500], *(f"new{i}" for i in range(20)), *words[2520:]]
+    df = table(spark, [" ".join(words), " ".join(changed)], [2, 1])
+    found = {r["doc_id"]: r for r in rows(fingerprints.edited_fingerprints(df))}
+    anchors = {r["doc_id"]: [(x["at"], x["hash"]) for x in r["anchors"]] for r in rows(fingerprints.fingerprint(df))}
+    assert len(anchors[2]) > 2000
+    for i in (1, 2):
+        assert found[i]["fingerprint"] == ",".join(f"{at:x}:{value & 0xFFFFFFFF:08x}" for at, value in anchors[i])
+    a, b = ({value for _, value in anchors[i]} for i in (2, 1))
+    assert found[2]["near_next"] == len(a & b) / len(a | b) < 1.0
+    assert found[2]["fingerprint"] != found[1]["fingerprint"]
+
+
 def plain_components(documents: list[tuple], percent=80, words=5) -> list[tuple]:
     sets = []
     for _, text in documents:
