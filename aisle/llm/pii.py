@@ -18,8 +18,8 @@ from aisle.llm.common import attach_groups, let, stored, text_of
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS = 3
-MOST_PATTERNS = 1000  # a pattern must hold at least 1/MOST_PATTERNS of the graph's instances, so this many can
 LEAST_INSTANCES = 3
+CELLS = 1 << 17  # hash cells by which word pairs are sifted before they are counted
 PATTERN_CONFIDENCE = 0.5
 INSTANCE_CONFIDENCE = 0.8
 CONTEXT_CHARS = 80
@@ -153,15 +153,21 @@ def located(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """How often each pattern (two words in a row) stands in the corpus; ``patterns`` has at most MOST_PATTERNS rows."""
+    """How often each pattern (two words in a row) of ``patterns`` stands in the corpus; their other columns are kept.
+
+    Pairs outside the patterns' hash cells, at most CELLS rows that are broadcast, are left out first; the others are
+    counted map-side before they move.
+    """
     pair = lambda w: F.when(
         F.size(w) >= 2,
         F.transform(
             F.sequence(F.lit(0), F.size(w) - F.lit(2)), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + F.lit(1)))
         ),
     )
-    pairs = docs.select(F.explode(let(_words(text_of()), pair)).alias("pattern"))
-    return pairs.join(F.broadcast(patterns), "pattern").groupBy("pattern").agg(F.count("*").alias("occurrences"))
+    cell = F.pmod(F.xxhash64("pattern"), F.lit(CELLS)).alias("cell")
+    pairs = docs.select(F.explode(let(_words(text_of()), pair)).alias("pattern")).select("pattern", cell)
+    sifted = pairs.join(F.broadcast(patterns.select(cell).distinct()), "cell", "left_semi")
+    return sifted.groupBy("pattern").agg(F.count("*").alias("occurrences")).join(patterns, "pattern")
 
 
 def accepted_instances(docs: DataFrame, spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -175,25 +181,36 @@ def accepted_instances(docs: DataFrame, spans: DataFrame, rounds: int = ROUNDS)
         .agg(F.count("*").alias("times"), F.max(F.col("seed").cast("double")).alias("seed")),
         "pattern-instances",
     )
-    least = max(LEAST_INSTANCES, edges.count() // MOST_PATTERNS)
-    frequent = edges.groupBy("pattern").agg(F.count("*").alias("instances")).filter(F.col("instances") >= least)
-    counted = stored(occurrences(docs, frequent.select("pattern")), "pattern-occurrences")  # at most MOST_PATTERNS rows
-    graph = stored(edges.join(F.broadcast(counted), "pattern"), "pattern-graph")
+    frequent = stored(
+        edges.groupBy("pattern").agg(F.count("*").alias("instances")).filter(F.col("instances") >= LEAST_INSTANCES),
+        "frequent-patterns",
+    )
+    counted = stored(occurrences(docs, frequent), "pattern-occurrences")
+    total = edges.count()
+    graph = stored(
+        attach_groups(edges, counted, "pattern", "instances", total)
+        .drop("instances")
+        .withColumn("source", F.concat_ws(":", F.col("kind").cast("string"), F.col("pattern"))),
+        "pattern-graph",
+    )
     scores = graph.groupBy("kind", "instance").agg(F.max("seed").alias("score"))
     for _ in range(rounds):
         held = graph.join(scores, ["kind", "instance"])
-        patterns = (
-            held.groupBy("pattern", "kind")
+        patterns = stored(
+            held.groupBy("source")
             .agg(
                 (F.sum(F.col("times") * F.col("score")) / F.max("occurrences")).alias("confidence"),
                 F.sum((F.col("score") > 0).cast("int")).alias("support"),
+                F.count("*").alias("instances"),
             )
             .filter((F.col("confidence") >= PATTERN_CONFIDENCE) & (F.col("support") >= LEAST_INSTANCES))
-            .select("pattern", "kind", F.least("confidence", F.lit(0.999)).alias("confidence"))
+            .select("source", "instances", F.least("confidence", F.lit(0.999)).alias("confidence")),
+            "sure-patterns",
         )
+        sure = attach_groups(graph, patterns, "source", "instances", total).select("kind", "instance", "seed", "confidence")
         doubt = F.coalesce(F.sum(F.log1p(-F.col("confidence"))), F.lit(0.0))
         scores = stored(
-            graph.join(F.broadcast(patterns), ["pattern", "kind"], "left")  # at most one row per pattern and kind
+            sure.unionByName(graph.select("kind", "instance", "seed", F.lit(None).cast("double").alias("confidence")))
             .groupBy("kind", "instance")
             .agg(F.greatest(F.max("seed"), F.lit(1.0) - F.exp(doubt)).alias("score")),
             "instance-scores",

@@ -335,6 +335,13 @@ def test_patterns_discover_unseen_identifiers_and_leave_others(spark):
     assert found[8] == "email:16:34" and found[9] == "" and found[10] == ""
 
 
+def test_patterns_with_few_instances_count_in_a_large_corpus(spark):
+    texts = [f"please write to user{i}@mail{i}.example.com today" for i in range(8)] + ["please write to someone(at)example today"]
+    many = ["\n".join(f"reply from person x{i}n{j}@host.example.com" for j in range(400)) for i in range(30)]
+    found = {r["doc_id"]: r["spans"] for r in rows(pii.find_pii(table(spark, [*texts, *many])))}
+    assert found[8] == "email:16:34"
+
+
 def test_masking_replaces_spans_and_keeps_the_rest(spark):
     df = table(spark, ["call +1 (555) 010-9999 or a@b.cd now", None, "clean"]).withColumn("n_chars", F.length("text").cast("bigint"))
     found = {r["doc_id"]: r for r in rows(pii.mask_pii(df))}
