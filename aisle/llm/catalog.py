@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from aisle.llm import bpe, exact_dedup, fingerprints, licenses, lm, ngram_join, packing, pii, quality, toxicity
+from aisle.llm import bpe, exact_dedup, fingerprints, licenses, lm, ngram_join, packing, pieces, pii, quality, toxicity
 from aisle.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,11 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(read_table(spark, folder, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokenizer_path(pieces.VOCABULARY)
+    return pieces.digests(pieces.decode(pieces.encode(read_table(spark, folder, "documents"), path), path))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Query] = {
         op8_byte_bpe,
         op9_lm_scores,
         op10_ngram_jaccard,
+        op11_sentencepiece,
         pipeline,
     )
 }
