@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from aisle.llm import bpe, exact_dedup, fingerprints, licenses, lm, ngram_join, packing, pieces, pii, quality, toxicity
+from aisle.llm import alignment, bpe, exact_dedup, fingerprints, licenses, lm, ngram_join, packing, pieces, pii, quality, toxicity
 from aisle.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,11 @@ def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digests(pieces.decode(pieces.encode(read_table(spark, folder, "documents"), path), path))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = tokenizer_path(alignment.BYTE_LEVEL), tokenizer_path(alignment.PIECES)
+    return alignment.agreement(read_table(spark, folder, "documents"), *paths)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -85,6 +90,7 @@ QUERIES: dict[str, Query] = {
         op9_lm_scores,
         op10_ngram_jaccard,
         op11_sentencepiece,
+        op12_token_alignment,
         pipeline,
     )
 }
