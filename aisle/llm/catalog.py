@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from aisle.llm import alignment, bpe, exact_dedup, fingerprints, licenses, lm, ngram_join, packing, pieces, pii, quality, toxicity
+from aisle.llm import alignment, bpe, exact_dedup, fingerprints, licenses, lm, negatives, ngram_join, packing, pieces, pii, quality, toxicity
 from aisle.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,10 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.agreement(read_table(spark, folder, "documents"), *paths)
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine(read_table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Query] = {
         op10_ngram_jaccard,
         op11_sentencepiece,
         op12_token_alignment,
+        op13_hard_negatives,
         pipeline,
     )
 }
