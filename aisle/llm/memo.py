@@ -1,10 +1,25 @@
-"""Values that a worker remembers by text."""
+"""What keeps the memory of a worker bounded: slices of batches, and values remembered by text."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+
+def slices_by_size(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have at most ``most`` bytes together, or one larger text."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)).fill_null(0), "i8"))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
 
 class Memo(dict):
     """Values by text. All are forgotten once their texts hold more than ``most`` characters together.

@@ -23,14 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
-from aisle.llm.bpe import batches_by_size
 from aisle.llm.common import text_of
-from aisle.llm.memo import Memo
+from aisle.llm.memo import Memo, slices_by_size
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"  # how pieces write a space
-REMEMBERED_CHARS = 16_000_000  # characters of words whose ids a worker keeps
-BATCH_CHARS = 2_000_000  # texts of so many characters, or one longer text, are encoded at a time
+REMEMBERED_CHARS = 8_000_000  # characters of words whose ids a worker keeps
+BATCH_CHARS = 1_000_000  # texts of so many bytes, or one longer text, are encoded at a time
 
 
 def map_entries(compiled: bytes) -> dict[bytes, bytes]:
@@ -143,7 +142,6 @@ class PieceEncoder:
 
         proto = pb.ModelProto.FromString(model)
         kinds = pb.ModelProto.SentencePiece
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         kept = [p.piece for p in proto.pieces if p.type == kinds.USER_DEFINED]
         self.normalise = Normaliser(proto.normalizer_spec, kept, proto.trainer_spec.treat_whitespace_as_suffix)
         self.by_word = proto.trainer_spec.byte_fallback and not any(SPACE in p.piece.lstrip(SPACE) for p in proto.pieces)
@@ -190,6 +188,13 @@ class PieceEncoder:
         return np.asarray([len(piece.encode()) for piece in self.words.encode(text, out_type=str)], "i8")
 
 
+@lru_cache(maxsize=2)
+def worker_decoder(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 @lru_cache(maxsize=2)
 def worker_pieces(path: str) -> PieceEncoder:
     with open(path, "rb") as file:
@@ -213,16 +218,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_pieces(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in batches_by_size(texts, BATCH_CHARS):
-                found = encoder.encode_all(texts[start:end])
+            for part in slices_by_size(batch, "text", BATCH_CHARS):
+                found = encoder.encode_all(part.column("text").to_pylist())
                 at = pa.array(np.cumsum([0, *(len(ids) for ids, _ in found)], dtype="int32"))
                 zero = np.zeros(1, "i8")
                 starts = np.concatenate([x for _, edges in found for x in (zero, edges)])
                 ends = np.concatenate([x for _, edges in found for x in (zero, edges[1:], edges[-1:])])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(start, end - start),
+                        part.column("doc_id"),
                         pa.array([ids.tobytes() for ids, _ in found], pa.binary()),
                         pa.ListArray.from_arrays(at, pa.array(starts.astype("i4"))),
                         pa.ListArray.from_arrays(at, pa.array(ends.astype("i4"))),
@@ -238,10 +242,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = StructType([*encoded.schema.fields, StructField("decoded", StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = worker_pieces(path).processor
+        processor = worker_decoder(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in slices_by_size(batch, "ids", BATCH_CHARS):
                 ids = [np.frombuffer(x, "<u4").tolist() for x in part.column("ids").to_pylist()]
                 decoded = pa.array(processor.decode(ids, num_threads=1), pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
