@@ -6,8 +6,8 @@ token: the token of the other tokenizer that holds its last byte, and itself if
 are doubled, for all tokens at once, until nothing changes; every token then points to the terminal token of
 its group, which labels it.
 
-Neither tokenizer merges across the place where a space follows another character that is not white space, so
-groups end there. A worker aligns each such segment of a text once and looks it up afterwards.
+Neither tokenizer merges across the place where a space follows another character that is not white space. A
+worker encodes each such segment of a text once and looks its ids up afterwards.
 
 How many documents hold a pair of ids linked is counted in Spark: the distinct pairs of every document are stored,
 added up per task and then by pair. The commonest pairs, at most MOST_COMMON of them, go to every worker as a
@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from aisle.llm.bpe import batches_by_size
 from aisle.llm.common import stored, text_of
-from aisle.llm.memo import Memo
+from aisle.llm.memo import Memo, slices_by_size
 from aisle.llm.pieces import SPACE, PieceEncoder
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MOST_COMMON = 1_000_000  # pairs whose counts every worker holds, 17 bytes each
-REMEMBERED_CHARS = 6_000_000  # characters of segments whose groups a worker keeps
-BATCH_CHARS = 2_000_000  # texts of so many characters, or one longer text, are aligned at a time
+REMEMBERED_CHARS = 12_000_000  # characters of segments whose ids a worker keeps
+BATCH_CHARS = 1_000_000  # texts of so many bytes, or one longer text, are aligned at a time
+WIDE = 64  # links of a group beyond which its ids are counted before they are paired
 HELD_PAIRS = 2_000_000  # pairs of documents that a task gathers before it adds them up
 
 # White space as any library may understand it, after which a segment doesn't end.
@@ -61,18 +61,6 @@ def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.n
         points = further
 
 
-class Aligned(NamedTuple):
-    """The groups of a segment: ids as ``a1,a2|b1`` joined by ``;``, numbers, linked pairs and how often each."""
-
-    text: str
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    pairs: np.ndarray  # A id * size of B + B id, distinct and rising
-    times: np.ndarray
-
-
 def _byte_values() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -92,11 +80,16 @@ class Aligner:
         self.tokenizer = Tokenizer.from_file(path_a)
         self.tokenizer.encode_special_tokens = True
         value = _byte_values()
-        self.bytes_a = {i: bytes(value[c] for c in token) for token, i in self.tokenizer.get_vocab(False).items()}
+        self.bytes_a = [b""] * self.tokenizer.get_vocab_size(True)
+        for token, number in self.tokenizer.get_vocab(False).items():
+            self.bytes_a[number] = bytes(value[c] for c in token)
         with open(path_b, "rb") as file:
             self.encoder = PieceEncoder(file.read())
         self.bytes_b = [b.replace(SPACE.encode(), b" ") for b in self.encoder.bytes_of]
+        self.lengths_a, self.lengths_b = (np.asarray([len(b) for b in x], "i8") for x in (self.bytes_a, self.bytes_b))
         self.size_b = len(self.bytes_b)
+        # how a token is shown inside and at the end of its side of a group
+        self.shown = [f"{i}{end}" for ends, side in ((",|", self.bytes_a), (",;", self.bytes_b)) for i in range(len(side)) for end in ends]
         self.known = Memo(remembered)
 
     def cut(self, text: str) -> list[str]:
@@ -108,73 +101,114 @@ class Aligner:
             return _SEGMENT_END.split(text)
         return [" " + word for word in text[1:].split(" ")]
 
-    def align(self, segments: list[str]) -> list[Aligned | None]:
-        """The groups of each segment; None where the tokens' bytes are not those of the segment."""
-        found_a = [x.ids for x in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        plain = [s.replace(" ", SPACE) for s in segments]
-        found_b = [np.frombuffer(ids, "<u4").tolist() for ids in self.encoder.encode_words(plain)]
-        out: list[Aligned | None] = [None] * len(segments)
-        good, tokens = [], ([], [])
-        for i, (segment, a, b) in enumerate(zip(segments, found_a, found_b, strict=True)):
-            parts = [self.bytes_a.get(x, b"") for x in a], [self.bytes_b[x] for x in b]
-            if b"".join(parts[0]) == b"".join(parts[1]) == segment.encode():
-                good.append(i)
-                for held, mine in zip(tokens, parts, strict=True):
-                    held.extend(map(len, mine))
-        if not good:
-            return out
-        ends = [np.cumsum(held) for held in tokens]
-        ids_a, ids_b = (np.asarray(list(chain.from_iterable(found[i] for i in good)), "i8") for found in (found_a, found_b))
-        label_a, label_b = group_ends(*ends)
-        last = np.unique(label_a)  # one A token ends each group
-        first_a, first_b = np.searchsorted(label_a, last), np.searchsorted(label_b, last)
-        many_a, many_b = np.diff(np.r_[first_a, len(ids_a)]), np.diff(np.r_[first_b, len(ids_b)])
-        # the segment of each group, by the A tokens before it
-        owner = np.repeat(np.arange(len(good)), [len(found_a[i]) for i in good])[first_a]
-        groups_of = np.bincount(owner, minlength=len(good))
-        links_of = np.bincount(owner, many_a * many_b, len(good)).astype("i8")
-        owner_p, pairs, times = self._linked(ids_a, ids_b, many_a, many_b, owner)
-        edge = np.searchsorted(owner_p, np.arange(len(good) + 1))
-        words_a, words_b = ids_a.astype(str).tolist(), ids_b.astype(str).tolist()
-        shown = [
-            f"{','.join(words_a[a : a + n])}|{','.join(words_b[b : b + m])}"
-            for a, n, b, m in zip(first_a.tolist(), many_a.tolist(), first_b.tolist(), many_b.tolist(), strict=True)
-        ]
-        at = 0
-        for k, (i, groups, links) in enumerate(zip(good, groups_of.tolist(), links_of.tolist(), strict=True)):
-            mine = slice(edge[k], edge[k + 1])
-            text = ";".join(shown[at : at + groups])
-            out[i] = Aligned(text, len(found_a[i]), len(found_b[i]), groups, links, pairs[mine].copy(), times[mine].copy())
-            at += groups
+    def learn(self, segments: list[str]) -> list[tuple[bytes, bytes]]:
+        """A and B ids of segments, as little-endian unsigned 32-bit integers."""
+        found = self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)
+        pieces = self.encoder.encode_words([s.replace(" ", SPACE) for s in segments])
+        return [(np.asarray(x.ids, "<u4").tobytes(), ids) for x, ids in zip(found, pieces, strict=True)]
+
+    def tokens(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """A and B ids of each text; None where it is empty or either side's bytes are not those of " " + text."""
+        cut = [self.cut(text) if text else [] for text in texts]
+        self.known.learn(chain.from_iterable(cut), self.learn)
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for text, segments in zip(texts, cut, strict=True):
+            sides = [np.frombuffer(b"".join(ids), "<u4") for ids in zip(*map(self.known.__getitem__, segments), strict=True)]
+            given = [b"".join(map(b.__getitem__, ids.tolist())) for b, ids in zip((self.bytes_a, self.bytes_b), sides, strict=False)]
+            out.append((sides[0], sides[1]) if segments and given[0] == given[1] == f" {text}".encode() else None)
         return out
 
-    def _linked(self, ids_a, ids_b, many_a, many_b, owner) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(segment, pair, how often) of the pairs that share a group, rising and distinct.
 
-        Ids that a group holds several times are counted first, so a group of a long run stays small.
-        """
-        sides = []
+class Batch(NamedTuple):
+    """Groups and links of several texts: per text the numbers, the groups as text, and its distinct linked pairs."""
+
+    numbers: np.ndarray  # n_a, n_b, n_groups, n_links
+    groups: list[str]
+    pairs: list[bytes]
+    times: list[bytes]
+
+
+def aligned_texts(aligner: Aligner, texts: list[str]) -> Batch:
+    out = Batch(np.zeros((len(texts), 4), "i8"), [""] * len(texts), [b""] * len(texts), [b""] * len(texts))
+    found = aligner.tokens(texts)
+    fine = [i for i, sides in enumerate(found) if sides is not None]
+    if not fine:
+        return out
+    sides = list(zip(*(found[i] for i in fine), strict=True))
+    ids_a, ids_b = (np.concatenate(side).astype("i8") for side in sides)
+    edge_a, edge_b = (np.cumsum([0, *map(len, side)]) for side in sides)
+    label_a, label_b = group_ends(np.cumsum(aligner.lengths_a[ids_a]), np.cumsum(aligner.lengths_b[ids_b]))
+    last = np.flatnonzero(label_a == np.arange(len(label_a)))  # one A token ends each group
+    first_a, first_b = np.r_[0, last[:-1] + 1], np.searchsorted(label_b, last)
+    many_a, many_b = last + 1 - first_a, np.diff(np.r_[first_b, len(ids_b)])
+    text_of_group = np.searchsorted(edge_a, first_a, side="right") - 1
+
+    # A tokens of a group, then its B tokens
+    shown = np.empty(len(ids_a) + len(ids_b), "i8")
+    ends_a, ends_b = np.zeros(len(ids_a), "i8"), np.zeros(len(ids_b), "i8")
+    ends_a[last] = 1
+    ends_b[first_b + many_b - 1] = 1
+    shown[np.arange(len(ids_a)) + np.repeat(first_b, many_a)] = 2 * ids_a + ends_a
+    shown[np.arange(len(ids_b)) + np.repeat(last + 1, many_b)] = 2 * (len(aligner.bytes_a) + ids_b) + ends_b
+
+    keys, times = _linked(ids_a, ids_b, many_a, many_b, first_b, text_of_group, aligner.size_b, len(aligner.bytes_a))
+    numbers = np.stack(
+        [
+            np.diff(edge_a),
+            np.diff(edge_b),
+            np.bincount(text_of_group, minlength=len(fine)),
+            np.add.reduceat(many_a * many_b, np.searchsorted(text_of_group, np.arange(len(fine)))),
+        ],
+        axis=1,
+    )
+    all_pairs = aligner.size_b * len(aligner.bytes_a)
+    edge = np.searchsorted(keys, np.arange(len(fine) + 1) * all_pairs)
+    for k, i in enumerate(fine):
+        part = shown[edge_a[k] + edge_b[k] : edge_a[k + 1] + edge_b[k + 1]]
+        mine = slice(edge[k], edge[k + 1])
+        out.numbers[i] = numbers[k]
+        out.groups[i] = "".join(map(aligner.shown.__getitem__, part.tolist()))[:-1]
+        out.pairs[i] = (keys[mine] - k * all_pairs).astype("<i8").tobytes()
+        out.times[i] = times[mine].astype("<i8").tobytes()
+    return out
+
+
+def _linked(ids_a, ids_b, many_a, many_b, first_b, text_of_group, size_b: int, size_a: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, pair) as text * size_a * size_b + pair, rising, and how many links each has.
+
+    In a group of many links, ids that it holds several times are counted first, so long runs stay small.
+    """
+    group_a = np.repeat(np.arange(len(many_a)), many_a)
+    wide = many_a * many_b > WIDE
+    base = text_of_group * size_a * size_b
+
+    def product(group, a, start, count, b):
+        left = np.repeat(np.arange(len(a)), count)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+        return left, right, base[group[left]] + a[left] * size_b + b[right]
+
+    plain = ~wide[group_a]
+    group = group_a[plain]
+    _, _, single = product(group, ids_a[plain], first_b[group], many_b[group], ids_b)
+    keys, times = np.unique(single, return_counts=True)
+    if wide.any():
+        counted = []
         for ids, many in ((ids_a, many_a), (ids_b, many_b)):
             group = np.repeat(np.arange(len(many)), many)
+            ids, group = ids[wide[group]], group[wide[group]]
             order = np.lexsort((ids, group))
-            group, ids = group[order], ids[order]
+            ids, group = ids[order], group[order]
             fresh = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (ids[1:] != ids[:-1])])
-            sides.append((group[fresh], ids[fresh], np.diff(np.r_[fresh, len(ids)])))
-        (group, a, times_a), (group_b, b, times_b) = sides
+            counted.append((group[fresh], ids[fresh], np.diff(np.r_[fresh, len(ids)])))
+        (group, a, times_a), (group_b, b, times_b) = counted
         start, stop = np.searchsorted(group_b, group), np.searchsorted(group_b, group, side="right")
-        left = np.repeat(np.arange(len(group)), stop - start)
-        right = np.arange(len(left)) - np.repeat(np.cumsum(stop - start) - stop, stop - start)
-        return summed(owner[group[left]], a[left] * self.size_b + b[right], times_a[left] * times_b[right])
-
-
-def summed(owner: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal (owner, pair) added up, in rising order."""
-    order = np.lexsort((pairs, owner))
-    owner, pairs, times = owner[order], pairs[order], times[order]
-    if not len(owner):
-        return owner, pairs, times
-    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (pairs[1:] != pairs[:-1])])
-    return owner[first], pairs[first], np.add.reduceat(times, first)
+        left, right, more = product(group, a, start, stop - start, b)
+        keys, times = np.concatenate([keys, more]), np.concatenate([times, times_a[left] * times_b[right]])
+        order = np.argsort(keys, kind="stable")
+        keys, times = keys[order], times[order]
+        fresh = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        keys, times = keys[fresh], np.add.reduceat(times, fresh)
+    return keys, times
 
 
 @lru_cache(maxsize=2)
@@ -206,38 +240,15 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = worker_aligner(path_a, path_b)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in batches_by_size(texts, BATCH_CHARS):
-                columns = aligned_texts(aligner, texts[start:end])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, end - start), *columns], schema.names)
+            for part in slices_by_size(batch, "text", BATCH_CHARS):
+                found = aligned_texts(aligner, part.column("text").to_pylist())
+                values = [*map(pa.array, found.numbers.T.copy()), pa.array(found.groups, pa.string())]
+                values += [pa.array(x, pa.binary()) for x in (found.pairs, found.times)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *values], schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def aligned_texts(aligner: Aligner, texts: list[str]) -> list[pa.Array]:
-    cut = [aligner.cut(text) if text else [] for text in texts]
-    aligner.known.learn(chain.from_iterable(cut), aligner.align)
-    numbers = np.zeros((len(texts), 4), "i8")
-    groups, members, owners = [""] * len(texts), [], []
-    for i, segments in enumerate(cut):
-        held = [aligner.known[s] for s in segments]
-        if not held or None in held:
-            continue
-        text, *counts, _, _ = zip(*held, strict=True)
-        groups[i] = ";".join(text)
-        numbers[i] = [sum(c) for c in counts]
-        members.extend(held)
-        owners.append((i, len(held)))
-    owner = np.repeat([i for i, _ in owners], [n for _, n in owners]).astype("i8")
-    owner = np.repeat(owner, np.fromiter((len(m.pairs) for m in members), "i8", len(members)))
-    pairs = np.concatenate([np.zeros(0, "i8"), *(m.pairs for m in members)])
-    times = np.concatenate([np.zeros(0, "i8"), *(m.times for m in members)])
-    owner, pairs, times = summed(owner, pairs, times)
-    edge = np.searchsorted(owner, np.arange(len(texts) + 1))
-    as_bytes = lambda values: pa.array([values[s:e].astype("<i8").tobytes() for s, e in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-    return [*(pa.array(column) for column in numbers.T.copy()), pa.array(groups, pa.string()), as_bytes(pairs), as_bytes(times)]
-
-
 def pair_counts(rows: DataFrame, size_b: int) -> DataFrame:
     """pair, a, documents (how many rows hold the pair) and best (no pair of the same A id is in more)."""
 
