@@ -4,7 +4,9 @@ A text is read as tokens: runs of non-white characters, runs longer than PIECE c
 Every K consecutive tokens are a k-mer; its inner substrings are the K-S+1 runs of S tokens. The k-mer is
 a closed syncmer when the smallest inner hash is the first or the last of them. That depends on nothing
 outside the k-mer, so the same passage gives the same anchors wherever it stands. The fingerprint is all of a
-text's anchors in order, and likeness is that of the full sets of their hashes, whatever the length of the text.
+text's anchors in order. Texts are matched by place: an anchor and the next one at their distance are a link, and
+likeness is that of the full sets of links. A passage that moves as a whole keeps its links, words in another
+order don't.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from aisle.plans.positions import positions
 
 K, S = 5, 2
 PIECE = 12
+KEY = ["id", "no_id", "text_key"]  # of a document
 
 
 def tokens(text: Column) -> Column:
@@ -57,6 +60,20 @@ def hashes(found: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: x["hash"]))
 
 
+def links(found: Column) -> Column:
+    """Distinct hashes of every anchor with the next one and the tokens between them; of a lone anchor itself."""
+
+    def linked(all_: Column) -> Column:
+        pairs = F.zip_with(
+            all_,
+            F.slice(all_, 2, F.size(all_)),
+            lambda here, there: F.when(there.isNotNull(), F.hash(here["hash"], there["hash"], there["at"] - here["at"])),
+        )
+        return F.when(F.size(all_) < 2, hashes(all_)).otherwise(F.array_distinct(F.array_compact(pairs)))
+
+    return let(found, linked)
+
+
 def shown(found: Column) -> Column:
     """Anchors as a string of place:hash in text order, both hexadecimal; empty for a text without tokens."""
     return F.array_join(
@@ -65,15 +82,15 @@ def shown(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard index of two sets of hashes. Two empty ones are alike (1.0), an empty and another one are not (0.0)."""
+    """Jaccard index of two sets of links. Two empty ones are alike (1.0), an empty and another one are not (0.0)."""
     shared = let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(shared)
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, anchors and the distinct hashes of every document."""
+    """doc_id, anchors, and the distinct hashes and links of every document."""
     found = docs.select("doc_id", anchors(text_of()).alias("anchors"))
-    return found.withColumn("hashes", hashes(F.col("anchors")))
+    return found.withColumns({"hashes": hashes(F.col("anchors")), "links": links(F.col("anchors"))})
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -86,41 +103,39 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     not read.
 
     Ids are numbered over range partitions, never in one window. Texts move once, by their own key; what
-    moves to the neighbour is the start of a text, cut to what the neighbour needs, and the text's hashes.
+    moves to the neighbour is the start of a text, cut to what the neighbour needs, and the text's links.
     """
     text = text_of()
-    base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
-    single = base.groupBy("doc_id", "text_key").agg(F.first(F.length("text").cast("bigint")).alias("n_chars"))
+    # null ids are equal here: KEY says so in plain columns, by which rows are dealt once for all that follows
+    base = docs.select(
+        text.alias("text"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("no_id"), F.xxhash64(text).alias("text_key")
+    )
+    doc_id = F.when(~F.col("no_id"), F.col("id")).alias("doc_id")
+    single = base.groupBy(doc_id, "text_key").agg(F.first(F.length("text").cast("bigint")).alias("n_chars"))
     numbered = stored(
         positions(single, [("doc_id", False)], [("text_key", True)], spread=True).select(
-            "doc_id", "text_key", "n_chars", "row_no", "group_rows"
+            F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("no_id"), "text_key", "n_chars", "row_no", "group_rows"
         ),
         "document-order",
     )
-    following = numbered.select(
-        F.col("doc_id").alias("next_id"), F.col("text_key").alias("next_key"), F.col("row_no").alias("next_no")
-    )
-    order = (
-        numbered.withColumn("next_no", F.col("row_no") % F.col("group_rows") + 1)
-        .join(following, "next_no")
-        .select("doc_id", "text_key", "next_id", "next_key", F.expr("n_chars div 3").alias("cut"))
-    )
+    following = numbered.select(*[F.col(c).alias(f"next_{c}") for c in KEY], F.col("row_no").alias("next_no"))
+    order = numbered.withColumn("next_no", F.col("row_no") % F.col("group_rows") + 1).join(following, "next_no")
     wanted = order.select(
-        F.col("next_id").alias("doc_id"),
-        F.col("next_key").alias("text_key"),
-        F.col("doc_id").alias("for_id"),
-        F.col("text_key").alias("for_key"),
-        "cut",
+        *[F.col(f"next_{c}").alias(c) for c in KEY], *[F.col(c).alias(f"for_{c}") for c in KEY], F.expr("n_chars div 3").alias("cut")
     )
     starts = (
-        _match(base, wanted, "doc_id", "text_key")
-        .select(F.col("for_id").alias("doc_id"), F.col("for_key").alias("text_key"), F.expr("substring(text, 1, int(cut))").alias("start"), "cut", hashes(anchors(F.col("text"))).alias("next_hashes"))
-        .dropDuplicates(["doc_id", "text_key"])
+        base.join(wanted, KEY)
+        .select(
+            *[F.col(f"for_{c}").alias(c) for c in KEY],
+            F.expr("substring(text, 1, int(cut))").alias("start"),
+            "cut",
+            links(anchors(F.col("text"))).alias("next_links"),
+        )
+        .dropDuplicates(KEY)
     )
-    joined = _match(base, starts, "doc_id", "text_key")
-    edited = joined.select(
-        "doc_id",
-        "next_hashes",
+    edited = base.join(starts, KEY).select(
+        doc_id,
+        "next_links",
         F.length("text").cast("bigint").alias("n_chars"),
         "text",
         F.concat(F.expr("substring(text, 1, int(length(text) - cut))"), F.col("start")).alias("edited"),
@@ -130,10 +145,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         near = lambda mine: F.struct(
             shown(own).alias("fingerprint"),
             shown(changed).alias("edited_fingerprint"),
-            let(hashes(changed), lambda other: likeness(mine, other)).alias("near_edited"),
-            likeness(mine, F.col("next_hashes")).alias("near_next"),
+            let(links(changed), lambda other: likeness(mine, other)).alias("near_edited"),
+            likeness(mine, F.col("next_links")).alias("near_next"),
         )
-        return let(hashes(own), near)
+        return let(links(own), near)
 
     found = F.array(let(anchors(F.col("text")), lambda own: let(anchors(F.col("edited")), lambda changed: compared(own, changed))))
     # the explode hands on a computed value, so that its fields are not each evaluated again
@@ -141,9 +156,3 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.explode(found).alias("found")
     ).select("doc_id", "n_chars", "edited_sha256", "found.*")
 
-
-def _match(left: DataFrame, right: DataFrame, document: str, key: str) -> DataFrame:
-    """Inner join on id and text key in which null ids are equal; keeps the left columns' names."""
-    other = right.withColumnsRenamed({document: "_other_id", key: "_other_key"})
-    on = left[document].eqNullSafe(other["_other_id"]) & (left[key] == other["_other_key"])
-    return left.join(other, on).drop("_other_id", "_other_key")

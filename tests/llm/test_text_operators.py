@@ -123,6 +123,17 @@ def test_repeated_rows_and_single_documents_have_a_next(spark):
     assert alone[0]["near_next"] == 1.0 and alone[0]["edited_sha256"] == hashlib.sha256(b"only one only").hexdigest()
 
 
+def test_moved_passages_keep_their_links_and_shuffled_words_do_not(spark):
+    words = [f"w{i}" for i in range(600)]
+    moved = [*words[300:], *words[:300]]
+    blocks = [words[i : i + 6] for i in range(0, 600, 6)]
+    shuffled = [w for block in blocks[::-1] for w in block]
+    gaps = [w for block in blocks for w in (*block, f"new{block[0]}")]
+    for other, least, most in ((moved, 0.95, 0.9999), (shuffled, 0.0, 0.6), (gaps, 0.0, 0.6)):
+        found = {r["doc_id"]: r for r in rows(fingerprints.edited_fingerprints(table(spark, [" ".join(words), " ".join(other)], [2, 1])))}
+        assert least <= found[2]["near_next"] <= most, (other[:8], found[2]["near_next"])
+
+
 def test_long_texts_keep_all_anchors_and_their_exact_likeness(spark):
     words = [f"w{i}" for i in range(6000)]
     changed = [*words[:2500], *(f"new{i}" for i in range(20)), *words[2520:]]
@@ -132,7 +143,7 @@ def test_long_texts_keep_all_anchors_and_their_exact_likeness(spark):
     assert len(anchors[2]) > 2000
     for i in (1, 2):
         assert found[i]["fingerprint"] == ",".join(f"{at:x}:{value & 0xFFFFFFFF:08x}" for at, value in anchors[i])
-    a, b = ({value for _, value in anchors[i]} for i in (2, 1))
+    a, b = ({(x[1], y[1], y[0] - x[0]) for x, y in itertools.pairwise(anchors[i])} for i in (2, 1))
     assert found[2]["near_next"] == len(a & b) / len(a | b) < 1.0
     assert found[2]["fingerprint"] != found[1]["fingerprint"]
 
@@ -199,6 +210,30 @@ def test_tree_finds_every_pair_within_bounds():
     found = {tuple(sorted(p)) for p in zip(u.tolist(), v.tolist(), strict=True)}
     linked = {(i, i + 1) for i in range(0, len(sets), 2)}
     assert linked <= found and len(found) < 300
+    sides = (ids // 3) % 2
+    u, v = ngram_join.SignatureTree(ids, n, n, ids, np.stack(bitmaps), sides).pairs(80)
+    across = {tuple(sorted(p)) for p in zip(u.tolist(), v.tolist(), strict=True)}
+    assert across == {(a, b) for a, b in found if sides[a] != sides[b]}
+
+
+def test_blocks_of_a_hot_shingle_find_what_one_tree_finds(spark):
+    import random
+
+    draw = random.Random(8)
+    data = []
+    for i in range(300):
+        n = draw.randrange(20, 60)
+        bits = bytes(i % 8 if k == i % 40 else 0 for k in range(ngram_join.BITS // 8))
+        data.append((i % 2 if i < 280 else i, i, n, n, i if i % 10 == 0 else -(i % 3), bytearray(bits)))
+    schema = "shingle bigint, set_id bigint, n bigint, n_shared bigint, known bigint, bitmap binary"
+    plain = spark.createDataFrame(data, schema)
+    mixed = plain.groupBy("shingle").agg(F.count("*").alias("rows"))
+    rows_ = plain.join(mixed, "shingle")
+    pairs = {size: sorted(map(tuple, ngram_join._tree_pairs(rows_, mixed, 80, size).collect())) for size in (1000, 64, 7)}
+    assert len(pairs[1000]) > 1000 and pairs[1000] == pairs[64] == pairs[7]
+    blocks = ngram_join._blocks(rows_.drop("rows"), 7)
+    assert blocks.groupBy("block").agg(F.count("*").alias("c"), F.countDistinct("shingle").alias("s")).filter("c > 7 OR s > 1").isEmpty()
+    assert blocks.count() == 300
 
 
 def test_components_of_stars_chains_and_pairs(spark):
