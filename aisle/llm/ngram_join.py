@@ -10,7 +10,8 @@
    that most of its shingles name, and with one class of another group, which ties large groups together with
    two comparisons per class. Then a signature tree per shingle (nodes with OR- and AND-combined bitmaps,
    size ranges and known groups) is traversed against itself: a pair of nodes is left out when its sizes, its
-   largest possible overlap, or a common known group rule out a new link.
+   largest possible overlap, or a common known group rule out a new link. A shingle of many classes is cut into
+   blocks, whose summaries are the top level of its tree: each pair of blocks that is left is a task's work.
 4. Candidate pairs are checked exactly on their shared shingles, and components are taken over the links.
 """
 
@@ -20,21 +21,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aisle.llm.bpe import batches_by_size
 from aisle.llm.common import attach_groups, stored, text_of
 from aisle.llm.components import components
+from aisle.llm.memo import slices_by_size
 
 WORDS = 5
 PERCENT = 80
 BUCKET_SHINGLES = 1 << 20
 LEAST_BUCKETS = 128
-PACKED_CHARS = 8_000_000  # texts of so many characters, or one longer text, are packed at a time
-REMEMBERED = 250_000  # words whose hashes a worker keeps
+PACKED_BYTES = 8_000_000  # texts of so many bytes, or one longer text, are packed at a time
+SLICE_BYTES = 1_000_000  # texts of so many bytes, or one longer text, are cut into words at a time
+REMEMBERED = 100_000  # words whose hashes a worker keeps
 LEAF = 16
 FAN_OUT = 4
+BLOCK_ROWS = 2048  # rows of one shingle that one tree holds
 BITS = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -56,9 +60,9 @@ def shingle_sets(texts: list[str], known: _WordHashes, words: int = WORDS) -> li
     """Sorted distinct 64-bit shingle hashes of each text, A-Z in lower case."""
     import xxhash
 
-    cut = [text.encode("utf-8", "surrogatepass").lower().split() for text in texts]
     sets = []
-    for found in cut:
+    for text in texts:
+        found = text.encode("utf-8", "surrogatepass").lower().split()
         if len(found) < words:
             seed = len(found)
             sets.append(np.asarray([xxhash.xxh3_64_intdigest(b" ".join(found), seed)] if found else [], "u8"))
@@ -94,12 +98,11 @@ def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in batches_by_size(texts):
-                sets = shingle_sets(texts[start:end], known, words)
+            for part in slices_by_size(batch, "text", SLICE_BYTES):
+                sets = shingle_sets(part.column("text").to_pylist(), known, words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(start, end - start),
+                        part.column("doc_id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_key(s) for s in sets], pa.int64()),
                     ],
@@ -116,9 +119,10 @@ def _packed(docs: DataFrame, bits: int, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHashes()
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for start, end in batches_by_size(texts, PACKED_CHARS):
-                classes = {set_key(s): s for s in shingle_sets(texts[start:end], known, words)}
+            for part in slices_by_size(batch, "text", PACKED_BYTES):
+                classes = {}
+                for few in slices_by_size(part, "text", SLICE_BYTES):
+                    classes.update((set_key(s), s) for s in shingle_sets(few.column("text").to_pylist(), known, words))
                 classes.pop(None, None)
                 if not classes:
                     continue
@@ -250,16 +254,21 @@ class SignatureTree:
     """Rows of one shingle in a tree: each level holds, per node, the OR and AND of its bitmaps, its sizes, the
     most shared shingles and the range of known groups."""
 
-    def __init__(self, ids, sizes, shared, groups, bitmaps):
-        order = np.lexsort((ids, groups, sizes))
+    def __init__(self, ids, sizes, shared, groups, bitmaps, sides=None):
+        """With ``sides`` (0 or 1 for each row) only pairs across the sides are looked for."""
+        self.across = sides is not None
+        sides = np.zeros(len(ids), "i8") if sides is None else sides
+        order = np.lexsort((ids, groups, sizes, sides))
+        self.sides = sides[order]
         self.ids, self.sizes, self.shared, self.groups = ids[order], sizes[order], shared[order], groups[order]
         self.bitmaps = bitmaps[order]
-        self.levels = [self._level(self.bitmaps, self.bitmaps, self.sizes, self.sizes, self.shared, self.groups, self.groups, LEAF)]
+        self.row = (self.bitmaps, self.bitmaps, self.sizes, self.sizes, self.shared, self.groups, self.groups, self.sides, self.sides)
+        self.levels = [self._level(*self.row, LEAF)]
         while len(self.levels[-1][0]) > 1:
             self.levels.append(self._level(*self.levels[-1], FAN_OUT))
 
     @staticmethod
-    def _level(some, all_, least, most, shared, low, high, width):
+    def _level(some, all_, least, most, shared, low, high, side_low, side_high, width):
         starts = np.arange(0, len(some), width)
         return (
             np.bitwise_or.reduceat(some, starts, axis=0),
@@ -269,34 +278,39 @@ class SignatureTree:
             np.maximum.reduceat(shared, starts),
             np.minimum.reduceat(low, starts),
             np.maximum.reduceat(high, starts),
+            np.minimum.reduceat(side_low, starts),
+            np.maximum.reduceat(side_high, starts),
         )
 
-    @staticmethod
-    def _possible(percent, some_a, all_a, least_a, most_a, shared_a, low_a, high_a, some_b, all_b, least_b, most_b, shared_b, low_b, high_b):
+    def _possible(self, percent, a, b):
         """Whether nodes a and b can hold a new link, for arrays of node pairs."""
+        some_a, all_a, least_a, most_a, shared_a, low_a, high_a, first_a, last_a = a
+        some_b, all_b, least_b, most_b, shared_b, low_b, high_b, first_b, last_b = b
         outside_a = np.bitwise_count(all_a & ~some_b).sum(axis=1)  # each is a shingle of a that b has not
         outside_b = np.bitwise_count(all_b & ~some_a).sum(axis=1)
         overlap = np.minimum(shared_a - outside_a, shared_b - outside_b)
         known = (low_a == high_a) & (low_b == high_b) & (low_a == low_b)
         sizes = (100 * most_a >= percent * least_b) & (100 * most_b >= percent * least_a)
-        return sizes & ~known & ((100 + percent) * overlap >= percent * (least_a + least_b))
+        beside = (first_a == last_a) & (first_b == last_b) & (first_a == first_b) & self.across
+        return sizes & ~known & ~beside & ((100 + percent) * overlap >= percent * (least_a + least_b))
 
     def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows that may be linked and are in no common group yet."""
         a = b = np.zeros(1, int)
         for depth in range(len(self.levels) - 1, -1, -1):
             node = self.levels[depth]
-            ok = self._possible(percent, *[x[a] for x in node], *[x[b] for x in node]) | (a == b) & (node[5][a] != node[6][a])
+            inside = (a == b) & (node[5][a] != node[6][a]) & ((node[7][a] != node[8][a]) | (not self.across))
+            ok = self._possible(percent, [x[a] for x in node], [x[b] for x in node]) | inside
             a, b = a[ok], b[ok]
             below, width = (self.levels[depth - 1][0], FAN_OUT) if depth else (self.bitmaps, LEAF)
             a, b = self._children(a, b, width, len(below))
-        row = (self.bitmaps, self.bitmaps, self.sizes, self.sizes, self.shared, self.groups, self.groups)
+        row = self.row
         apart = a < b
         a, b = a[apart], b[apart]
         out = [np.zeros(0, int)], [np.zeros(0, int)]
         for start in range(0, len(a), 100_000):
             x, y = a[start : start + 100_000], b[start : start + 100_000]
-            ok = self._possible(percent, *[r[x] for r in row], *[r[y] for r in row])
+            ok = self._possible(percent, [r[x] for r in row], [r[y] for r in row])
             out[0].append(x[ok])
             out[1].append(y[ok])
         a, b = np.concatenate(out[0]), np.concatenate(out[1])
@@ -312,49 +326,118 @@ class SignatureTree:
         return x[ok], y[ok]
 
 
-def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (u, v) from rows (shingle, set_id, n, n_shared, known, bitmap), a tree per shingle.
+COLUMNS = ("set_id", "n", "n_shared", "known", "bitmap")
 
-    Rows of a shingle stand together, in order, in one partition and are read as a stream.
-    """
-    columns = ("shingle", "set_id", "n", "n_shared", "known", "bitmap")
-    sorted_rows = rows.select(*columns).repartition("shingle").sortWithinPartitions("shingle")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(part: pa.Table) -> pa.RecordBatch | None:
-            column = lambda name: np.asarray(part.column(name))
-            shingle = column("shingle")
-            bitmaps = np.frombuffer(b"".join(part.column("bitmap").to_pylist()), "u8").reshape(-1, BITS // 64)
-            values = [column(name) for name in ("set_id", "n", "n_shared", "known")]
-            edges = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1], True])
-            out = [
-                SignatureTree(*[v[s:e] for v in values], bitmaps[s:e]).pairs(percent)
-                for s, e in zip(edges[:-1], edges[1:], strict=True)
-                if e - s > 1
-            ]
-            if not out:
-                return None
-            u, v = (np.concatenate(side) for side in zip(*out, strict=True))
-            both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+def _streamed(rows: DataFrame, keys: tuple[str, ...], run, schema: str) -> DataFrame:
+    """``run`` on one Arrow table per value of the keys. Rows of a key stand together, in order, in one partition and
+    are read as a stream, so a task holds the rows of one key."""
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            shingle = np.asarray(batch.column("shingle"))
-            change = np.flatnonzero(shingle != shingle[-1])
-            split = int(change[-1]) + 1 if len(change) else 0
-            if split or (held and held[-1].column("shingle")[-1].as_py() != shingle[0]):
-                pairs = found(pa.Table.from_batches([*held, batch.slice(0, split)]))
-                held = []
-                if pairs is not None:
-                    yield pairs
-            held.append(batch.slice(split))
-        if held and (pairs := found(pa.Table.from_batches(held))) is not None:
-            yield pairs
+            columns = [np.asarray(batch.column(key)) for key in keys]
+            edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            for start, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                if held and any(held[-1].column(key)[-1].as_py() != c[start] for key, c in zip(keys, columns, strict=True)):
+                    yield from run(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield from run(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(whole, schema)
+
+
+def _candidates(part: pa.Table, percent: int, sides: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of one tree."""
+    if part.num_rows < 2:
+        return
+    bitmaps = np.frombuffer(b"".join(part.column("bitmap").to_pylist()), "u8").reshape(-1, BITS // 64)
+    values = [np.asarray(part.column(name)) for name in COLUMNS[:-1]]
+    u, v = SignatureTree(*values, bitmaps, sides).pairs(percent)
+    if len(u):
+        both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+
+
+def _tree_pairs(rows: DataFrame, mixed: DataFrame, percent: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Candidate pairs (u, v) from the rows and shingles of :func:`_crossing`.
+
+    A shingle of at most ``block_rows`` rows has one tree. Larger ones are cut into blocks (:func:`_blocks`), and each
+    pair of blocks that may hold a new link has a tree of its own.
+    """
+    plain = rows.filter(F.col("rows") <= block_rows).select("shingle", *COLUMNS)
+    dealt = plain.repartition("shingle").sortWithinPartitions("shingle")
+    schema = "u bigint, v bigint"
+    found = _streamed(dealt, ("shingle",), lambda part: _candidates(part, percent), schema)
+    hot = rows.filter(F.col("rows") > block_rows).select("shingle", *COLUMNS)
+    if mixed.filter(F.col("rows") > block_rows).isEmpty():
+        return found.distinct()
+    blocks = _blocks(hot, block_rows)
+    pairs = _block_pairs(blocks, percent)
+    ends = F.array(F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))
+    wanted = pairs.select("a", "b", F.inline(ends)).filter("a <> b OR side = 0")
+    members = blocks.join(wanted, "block").select("a", "b", "side", *COLUMNS)
+    spread = members.repartition("a", "b").sortWithinPartitions("a", "b")
+
+    def across(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        alone = part.column("a")[0] == part.column("b")[0]
+        yield from _candidates(part, percent, None if alone else np.asarray(part.column("side")))
+
+    return found.unionByName(_streamed(spread, ("a", "b"), across, schema)).distinct()
+
+
+def _blocks(hot: DataFrame, block_rows: int) -> DataFrame:
+    """The rows with ``block``: at most ``block_rows`` rows of one shingle, neighbours by known group and size.
+
+    The order is cut by range, so a shingle of any size is sorted by many tasks.
+    """
+    order = ("shingle", "known", "n", "set_id")
+    ordered = hot.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        number, held, shingle = 0, 0, None
+        for batch in batches:
+            values = np.asarray(batch.column("shingle"))
+            out = np.empty(len(values), "i8")
+            edges = np.flatnonzero(np.r_[True, values[1:] != values[:-1], True]) if len(values) else []
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                if values[start] != shingle:
+                    number, held, shingle = number + 1, 0, values[start]
+                place = held + np.arange(end - start)
+                out[start:end] = number + place // block_rows
+                number, held = number + int(place[-1] // block_rows), int(place[-1] % block_rows) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((task << 32) + out)], [*batch.schema.names, "block"])
 
-    return sorted_rows.mapInArrow(run, "u bigint, v bigint").distinct()
+    schema = "shingle bigint, set_id bigint, n bigint, n_shared bigint, known bigint, bitmap binary, block bigint"
+    return stored(ordered.mapInArrow(run, schema), "shingle-blocks")
+
+
+def _block_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of blocks of one shingle, a <= b, whose sizes, shares and known groups allow a new link.
+
+    A block of one known group is not paired with itself or with another block of that group.
+    """
+    summary = stored(
+        blocks.groupBy("shingle", "block").agg(
+            F.min("n").alias("least"),
+            F.max("n").alias("most"),
+            F.max("n_shared").alias("shared"),
+            F.min("known").alias("low"),
+            F.max("known").alias("high"),
+        ),
+        "block-summaries",
+    )
+    side = lambda name: summary.select("shingle", *[F.col(c).alias(f"{c}_{name}") for c in summary.columns[1:]])
+    new = "NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)"
+    sizes = f"100 * most_a >= {percent} * least_b AND 100 * most_b >= {percent} * least_a"
+    overlap = f"({100 + percent}) * least(shared_a, shared_b) >= {percent} * (least_a + least_b)"
+    both = side("a").join(side("b"), "shingle").filter(f"block_a <= block_b AND {new} AND {sizes} AND {overlap}")
+    return both.select(F.col("block_a").alias("a"), F.col("block_b").alias("b"))
 
 
 def links(docs: DataFrame, table: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -373,18 +456,18 @@ def links(docs: DataFrame, table: DataFrame, percent: int = PERCENT, words: int
         .agg(F.max_by("set_id", F.struct("part", "set_id")).alias("other"), F.count("*").alias("rows"))
         .filter("rows > 1")
     )
-    voted = attach_groups(narrow, stored(heads, "leaders"), "shingle", "rows", sets.count())
+    voted = attach_groups(narrow, stored(heads, "leaders"), "shingle", "rows", _prefix_rows(sets))
     stars = stored(_most_voted(voted, sets, percent), "star-links")
     # a class is known by its leader, or by its leader's leader
     upper = stars.select(F.col("u").alias("v"), F.col("v").alias("top"))
     known = stars.join(upper, "v", "left").select(F.col("u").alias("set_id"), F.coalesce("top", "v").alias("known"))
     base = sets.select("set_id", "n", size.alias("n_shared"), "bitmap", "prefix")
-    crossing = _crossing(base, known)
+    crossing, _ = _crossing(base, known)
     other = F.when(F.col("known") == F.col("low"), F.col("high")).otherwise(F.col("low"))
     second = stored(_most_voted(crossing.withColumn("other", other), sets, percent), "star-links")
     stars = stars.unionByName(second)
     grouped = components(stars).select(F.col("vertex").alias("set_id"), F.col("component").alias("known"))
-    more = _verified(stored(_tree_pairs(_crossing(base, grouped), percent), "candidates"), sets, percent)
+    more = _verified(stored(_tree_pairs(*_crossing(base, grouped), percent), "candidates"), sets, percent)
     return stars.unionByName(more)
 
 
@@ -395,9 +478,10 @@ def _most_voted(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _verified(chosen.select(F.col("set_id").alias("u"), "v"), sets, percent)
 
 
-def _crossing(base: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (shingle, set_id, n, n_shared, known, bitmap, low, high) of the shingles that several known groups
-    share; a class in no group is known by itself, and low and high are the outer groups of a shingle."""
+def _crossing(base: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (shingle, set_id, n, n_shared, known, bitmap, low, high, rows) of the shingles that several known groups
+    share; a class in no group is known by itself, low and high are the outer groups of a shingle, rows its size.
+    With them, the shingles themselves (shingle, low, high, rows)."""
     described = base.join(known, "set_id", "left").withColumn("known", F.coalesce("known", "set_id"))
     described = stored(described, "described")
     rows = described.select("set_id", "n", "n_shared", "known", "bitmap", F.explode("prefix").alias("shingle"))
@@ -406,7 +490,13 @@ def _crossing(base: DataFrame, known: DataFrame) -> DataFrame:
         .agg(F.min("known").alias("low"), F.max("known").alias("high"), F.count("*").alias("rows"))
         .filter("low < high")
     )
-    return attach_groups(rows, mixed, "shingle", "rows", described.count())
+    mixed = stored(mixed, "mixed-shingles")
+    return attach_groups(rows, mixed, "shingle", "rows", _prefix_rows(described)), mixed
+
+
+def _prefix_rows(sets: DataFrame) -> int:
+    """How many rows the prefixes of all classes give: the total that sizes of shingles add up to."""
+    return sets.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:

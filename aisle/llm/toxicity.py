@@ -15,6 +15,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -159,7 +160,7 @@ def fit(texts: list[str], toxic: list[int], totals: tuple[int, int] | None = Non
 
 
 def probability(model: Model, texts: list[str]) -> np.ndarray:
-    if not model.toxic:
+    if not model.toxic or not texts:
         return np.full(len(texts), 1 / (1 + np.exp(-model.weights[-1])))
     x = np.stack([features(t, model.toxic, model.ordinary) for t in texts])
     value = ((x - model.center) / model.scale) @ model.weights[:-1] + model.weights[-1]
@@ -210,14 +211,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold, all columns as they were; nothing is shuffled."""
-    rows = docs.select(F.struct("*").alias("row"), text_of(docs["text"]).alias("text"))
-    schema = rows.select("row").schema
+    """The documents that score below the threshold, all columns as they were; nothing is shuffled.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                clean = probability(model, batch.column("text").to_pylist()) < threshold
-                yield batch.select(["row"]).filter(pa.array(clean))
+    Only the texts go to the Python workers, and only scores come back.
+    """
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(probability(model, texts.tolist()))
 
-    return rows.mapInArrow(run, schema).select("row.*")
+    return docs.filter(scored(text_of(docs["text"])) < threshold)
