@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from aisle.llm.bpe import LETTERS, batches_by_size, is_simple
+from aisle.llm.bpe import LETTERS, is_simple
 from aisle.llm.common import stored, text_of
+from aisle.llm.memo import slices_by_size
 
 CAPACITY = 2048
 END = 0
 VOCABULARY = "word_bpe_49k.json"
-REMEMBERED = 400_000  # words whose ids a worker keeps
+REMEMBERED = 200_000  # words whose ids a worker keeps
+SLICE_BYTES = 1_000_000  # texts of so many bytes, or one longer text, are encoded at a time
 
 
 class WordTokens:
@@ -41,7 +43,8 @@ class WordTokens:
 
     The tokenizer never merges across white space, and a word's letters, digits and signs are merged apart. So
     words are kept with their ids, and a new word of a simple text is put together from its parts. Words of
-    other texts go through the tokenizer's own normalisation.
+    other texts go through the tokenizer's own normalisation. Added tokens such as <|endoftext|> are found in the
+    raw text first, as the library does, and what stands between them is encoded by itself.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -51,7 +54,9 @@ class WordTokens:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {token.content: number for number, token in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = {content: number.to_bytes(4, "little") for content, number in added.items()}
+        self.between = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
         self.parts = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
         # how the vocabulary writes each byte above ASCII
         write = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
@@ -96,6 +101,13 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if self.between is None or not any(map(self.between.search, texts)):
+            return self._encode_plain(texts)
+        cut = [self.between.split(text) for text in texts]  # added tokens stand at odd places
+        plain = iter(self._encode_plain([part for parts in cut for part in parts[::2]]))
+        return [b"".join(self.added[part] if i % 2 else next(plain) for i, part in enumerate(parts)) for parts in cut]
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
         simple = [is_simple(text) for text in texts]
         lower = [text.lower().encode().split() for text, ok in zip(texts, simple, strict=True) if ok]
         other = [text.encode().split() for text, ok in zip(texts, simple, strict=True) if not ok]
@@ -130,19 +142,18 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = worker_tokens(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for first, last in batches_by_size(texts):
+            for part in slices_by_size(batch, "text", SLICE_BYTES):
                 at, piece, ids = [], [], []
-                for i, found in enumerate(tokens.encode(texts[first:last])):
+                for i, found in enumerate(tokens.encode(part.column("text").to_pylist())):
                     whole = found + end
                     cuts = [whole[j : j + step] for j in range(0, len(whole), step)]
-                    at.extend([first + i] * len(cuts))
+                    at.extend([i] * len(cuts))
                     piece.extend(range(len(cuts)))
                     ids.extend(cuts)
                 number = np.asarray(piece, "int64")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").take(pa.array(at, pa.int64())),
+                        part.column("doc_id").take(pa.array(at, pa.int64())),
                         pa.array(number.astype("int32")),
                         pa.array(number * capacity),
                         pa.array([len(x) // 4 for x in ids], pa.int64()),
@@ -209,7 +220,7 @@ def ranked(rows: DataFrame, total: int) -> DataFrame:
     """Add ``rank`` from 0 inside each length, by doc_id and piece within random parts.
 
     Each length is split into parts, so that a length held by a third of the pieces is counted by many
-    tasks; there are at most capacity x parts part sizes, which are added up and broadcast.
+    tasks. There are at most capacity x parts part sizes, which are added up and joined as a table.
     """
     parts = min(1024, max(64, total // 1_000_000))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
@@ -219,7 +230,7 @@ def ranked(rows: DataFrame, total: int) -> DataFrame:
     inside = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
     return (
         dealt.withColumn("inside", F.row_number().over(inside) - 1)
-        .join(F.broadcast(shifts), ["length", "part"])
+        .join(shifts, ["length", "part"])
         .withColumn("rank", F.col("before") + F.col("inside"))
         .drop("part", "before", "inside")
     )

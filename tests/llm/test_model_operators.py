@@ -59,11 +59,12 @@ def test_pieces_are_the_library_ids_cut_at_the_capacity(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORD_PATH)
-    library.encode_special_tokens = True
+    texts = [*ODD, "one<|endoftext|>two <|startoftext|> Three", "<|endoftext|>", "é<|endoftext|>日本 <|endoftext"]
     found: dict[int, list] = {}
-    for r in rows(packing.pieces(table(spark, ODD), WORD_PATH)):
+    for r in rows(packing.pieces(table(spark, texts), WORD_PATH)):
         found.setdefault(r["doc_id"], []).append(r)
-    for i, text in enumerate(ODD):
+    assert 49407 in library.encode(texts[-2], add_special_tokens=False).ids
+    for i, text in enumerate(texts):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
         cut = [ids[j : j + 2048] for j in range(0, len(ids), 2048)]
         mine = sorted(found[i], key=lambda r: r["piece"])
