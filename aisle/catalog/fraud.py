@@ -196,7 +196,7 @@ def fraud_flag_detail(w):
 # Behaviour per customer
 
 ANALYSIS_SQL = """
-SELECT r.transaction_id, customer_id, name AS customer_name, CAST(total_amount AS DOUBLE) AS total_amount,
+SELECT r.transaction_id, customer_id, customers.name AS customer_name, product_id, product_name, store_id, store_name, CAST(total_amount AS DOUBLE) AS total_amount,
        transaction_date, 'online' AS payment_method, quantity, prev_transaction_date,
        CAST(prev_amount AS DOUBLE) AS prev_amount, CAST(rolling AS DOUBLE) AS rolling_5tx_total, tx_count_last_hour,
        date_sub('second', prev_transaction_date, transaction_date) AS seconds_since_last,
@@ -220,7 +220,7 @@ AFTER_SQL = RULES_SQL + f"""
     WINDOW w AS (PARTITION BY customer_id ORDER BY transaction_date, transaction_id, flag_id NULLS FIRST)
 )
 {ANALYSIS_SQL.format(flag="r")}
-FROM r JOIN customers USING (customer_id)
+FROM r JOIN customers USING (customer_id) JOIN products USING (product_id) JOIN stores ON store_id = product_id
 """
 BEFORE_SQL = RULES_SQL + f"""
 , r AS (
@@ -228,19 +228,22 @@ BEFORE_SQL = RULES_SQL + f"""
     WINDOW w AS (PARTITION BY customer_id ORDER BY transaction_date, transaction_id)
 )
 {ANALYSIS_SQL.format(flag="f")}
-FROM r JOIN customers USING (customer_id) LEFT JOIN flags f USING (transaction_id)
+FROM r JOIN customers USING (customer_id) JOIN products USING (product_id) JOIN stores ON store_id = product_id
+LEFT JOIN flags f USING (transaction_id)
 """
 
 
 @query(AFTER_SQL)
 def fraud_analysis(w):
-    return fraud.fraud_analysis(w.events(), materialise(flags(w)), w.customers(), limits=EVENT_LIMITS)
+    return fraud.fraud_analysis(
+        w.events(), materialise(flags(w)), w.customers(), w.products(), w.stores(), limits=EVENT_LIMITS
+    )
 
 
 @query(BEFORE_SQL)
 def fraud_analysis_before_flags(w):
     return fraud.fraud_analysis(
-        w.events(), materialise(flags(w)), w.customers(), limits=EVENT_LIMITS, windows="before_flags"
+        w.events(), materialise(flags(w)), w.customers(), w.products(), w.stores(), limits=EVENT_LIMITS, windows="before_flags"
     )
 
 
@@ -248,5 +251,5 @@ def fraud_analysis_before_flags(w):
 def fraud_analysis_spread(w):
     """The same view with every customer treated as too large for one task."""
     return fraud.fraud_analysis(
-        w.events(), materialise(flags(w)), w.customers(), limits=EVENT_LIMITS, key_limit=0
+        w.events(), materialise(flags(w)), w.customers(), w.products(), w.stores(), limits=EVENT_LIMITS, key_limit=0
     )

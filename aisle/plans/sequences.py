@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisle.plans.neighbours import trailing_counts
 from aisle.plans.positions import segment_count
+from aisle.plans.sizes import KEY_ROWS
 from aisle.session import materialise
 
 ADDED = ["previous_ts", "previous_value", "rolling_value", "recent_rows"]
@@ -44,14 +44,16 @@ def spread_sequence(
 ) -> DataFrame:
     """The same columns with every key cut into range segments.
 
-    Each segment is windowed on its own after receiving the last ``rows - 1`` rows before it; a
-    segment hands on at most that many. The time-ranged count comes from per-instant counts.
+    There are as many segments as the counted rows need at KEY_ROWS each, and at least one per shuffle
+    partition. Each is windowed on its own after receiving the last ``rows - 1`` rows before it; a
+    segment hands on at most that many. The time-ranged count is found once per instant
+    (:func:`recent_counts`) and comes to the rows by key, segment and instant, so an instant that
+    holds a third of all rows stays spread over its segments.
     """
     carried_rows = rows - 1
+    segments = segments or max(segment_count(df), df.count() // KEY_ROWS + 1)
     cut = materialise(
-        df.repartitionByRange(segments or segment_count(df), key, ts, *tie_break).withColumn(
-            "segment", F.spark_partition_id()
-        )
+        df.repartitionByRange(segments, key, ts, *tie_break).withColumn("segment", F.spark_partition_id())
     )
     part = (key, "segment")
     from_end = Window.partitionBy(*part).orderBy(*[F.desc(c) for c in (ts, *tie_break)])
@@ -75,6 +77,31 @@ def spread_sequence(
         .select("*", *_window_columns(part, ts, tie_break, value, rows))
         .filter("home")
     )
-    recent = trailing_counts(cut, key, ts, seconds).withColumnRenamed("n", "recent_rows")
-    return windowed.join(recent, [key, ts]).select(*df.columns, *ADDED)
+    held = materialise(cut.groupBy(key, "segment", ts).agg(F.count("*").alias("n")))
+    instants = held.groupBy(key, ts).agg(F.sum("n").alias("n"))
+    recent = held.select(key, "segment", ts).join(recent_counts(instants, key, ts, seconds, segments), [key, ts])
+    return windowed.join(recent, [key, "segment", ts]).select(*df.columns, *ADDED)
 
+
+def recent_counts(instants: DataFrame, key: str, ts: str, seconds: int, segments: int) -> DataFrame:
+    """(key, ts, recent_rows) from (key, ts, n): the rows from ``seconds`` before each instant up to it.
+
+    That is the difference of two prefix sums: the rows up to the instant, and those before its start.
+    Every instant sends a probe to the place where its start lies in the order of all instants. Instants
+    and probes are cut into range segments, summed up inside each, and shifted by what earlier segments of
+    the key hold, so no task needs all instants of a key, however many fall within the reach.
+    """
+    probes = instants.select(
+        key, F.col(ts).alias("of"), (F.col(ts) - F.make_dt_interval(secs=F.lit(seconds))).alias("at"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("n")
+    )
+    both = instants.select(key, F.col(ts).alias("of"), F.col(ts).alias("at"), F.lit(1).alias("kind"), "n").unionByName(probes)
+    # a probe comes before the instant it names, which counts
+    cut = materialise(both.repartitionByRange(segments, key, "at", "kind", "of").withColumn("part", F.spark_partition_id()))
+    inside = Window.partitionBy(key, "part").orderBy("at", "kind", "of").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = cut.groupBy(key, "part").agg(F.sum("n").alias("held"))
+    shifts = shifts.select(key, "part", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
+    summed = cut.withColumn("inside", F.sum("n").over(inside)).join(shifts, [key, "part"])
+    up_to = F.col("before") + F.col("inside")
+    signed = F.sum(F.when(F.col("kind") == 1, up_to).otherwise(-up_to)).alias("recent_rows")
+    return summed.groupBy(key, F.col("of").alias(ts)).agg(signed)

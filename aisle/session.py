@@ -36,13 +36,16 @@ def build_session(app_name: str = "aisle", master: str | None = None, **conf: st
 def shared_folder(spark: SparkSession) -> str:
     """Root of the shared scratch space: ``spark.checkpoint.dir``, or a folder of the warehouse.
 
-    Both are places that the driver and every executor reach; a machine-local temporary folder is
-    never used.
+    A machine-local temporary folder is never used. On a cluster whose warehouse is a folder of the driver's own
+    disk, which executors don't reach, there is no such place: ``spark.checkpoint.dir`` must name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {warehouse} is local to a machine")
+    return f"{warehouse.rstrip('/')}/scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -15,6 +15,7 @@ from aisle.plans.neighbours import (
     trailing_counts,
 )
 from aisle.plans.positions import ntile, percent_rank_reversed, plain_positions, spread_positions
+from aisle.plans.sequences import plain_sequence, spread_sequence
 from aisle.plans.sizes import hot_keys, most_rows_per_key, split_hot
 
 
@@ -115,6 +116,21 @@ def test_trailing_counts_equal_all_pairs(spark, seed):
     assert {(k, us): n for k, us, n in rows_of(found, "k", "us", "n")} == wanted
 
 
+def test_recent_rows_of_an_hour_and_an_instant_that_one_customer_fills(spark):
+    """A third of all rows at one instant, and many instants within one hour, in several segments each."""
+    instant, hour = 7_200_000_000, 50_000_000_000
+    data = [(i, 0, instant) for i in range(300)] + [(1000 + i, 0, hour + i * 3_000_000) for i in range(1300)]
+    data += [(5000 + i, 1 + i % 3, i * 900_000_000) for i in range(60)]
+    micros = F.make_dt_interval(secs=(F.col("us") / 1_000_000).cast("decimal(18,6)"))
+    df = spark.createDataFrame(data, "id bigint, k int, us bigint").withColumn("ts", F.lit("2024-03-10").cast("timestamp_ntz") + micros)
+    df = df.withColumn("v", F.col("id"))
+    added = ["id", "previous_value", "rolling_value", "recent_rows"]
+    plain = plain_sequence(df, "k", "ts", ["id"], "v", 5, 3600)
+    spread = spread_sequence(df, "k", "ts", ["id"], "v", 5, 3600, segments=9)
+    assert sorted(map(repr, rows_of(spread, *added))) == sorted(map(repr, rows_of(plain, *added)))
+    assert max(rows_of(spread.filter("k = 0"), "recent_rows")) == 1201
+
+
 def test_neighbours_do_not_depend_on_the_session_zone(spark):
     """02:30 to 03:30 does not exist in New York on this day; the difference stays 60 minutes."""
     df = spark.sql(
