@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from aisle.llm import alignment, bpe, exact_dedup, fingerprints, licenses, lm, negatives, ngram_join, packing, pieces, pii, quality, toxicity
 from aisle.llm.common import read_table
 
@@ -78,6 +77,8 @@ def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline  # stands beside the package, not in it
+
     return corpus_pipeline.run(spark, folder)
 
 
