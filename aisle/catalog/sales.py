@@ -421,7 +421,7 @@ SELECT transaction_id, transaction_date, CAST(total_amount AS DOUBLE) AS total_a
 ORDER BY transaction_date DESC, transaction_id LIMIT 100 OFFSET 40000
 """)
 def paginate_deep(w):
-    """Page 401 of 100: too far for a bounded top-k, so rows are numbered across partitions."""
+    """Page 401 of 100: too far for a bounded top-k, so counts between split points find its range first."""
     rows = w.transactions().select("transaction_id", "transaction_date", "total_amount")
     return paging.page_rows(rows, paging.NEWEST, paging.BY_ID, 401, 100)
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aisle.operators.sales import newest_first, with_dimensions
-from aisle.plans.positions import Order, sort_columns, spread_positions
+from aisle.plans.positions import Order, sort_columns
+from aisle.plans.selection import rows_at
 
 MAX_PER_PAGE = 100
 SALES_PAGE = 25
-SHALLOW_ROWS = 10_000  # rows a top-k may keep in one task; deeper pages number the rows instead
+SHALLOW_ROWS = 10_000  # rows a top-k may keep in one task; deeper pages look for their range first
 
 NEWEST: Order = [("transaction_date", False)]
 BY_ID: Order = [("transaction_id", True)]
@@ -59,20 +59,15 @@ def page_rows(
     """Rows of one page.
 
     Near the start a bounded top-k with an offset suffices. A deep page would make that top-k hold
-    everything before it, so there the columns of the order are numbered across range partitions, and
-    the page's whole rows are fetched last by its keys, which are as few as the page. ``order`` and
-    ``tie_break`` together must tell rows apart.
+    everything before it, so there counts between split points of the order lead to the range the page
+    lies in, and the top-k runs inside that range. ``order`` and ``tie_break`` together should tell rows
+    apart; which of several equal rows a page has is otherwise undefined.
     """
     offset, rows = page_bounds(page, per_page, most)
     by = order + tie_break
     if offset + rows <= shallow:
         return df.orderBy(*sort_columns(by)).offset(offset).limit(rows)
-    names = [c for c, _ in by]
-    numbered = spread_positions(df.select(*names), order, tie_break)
-    wanted = numbered.filter(F.col("row_no").between(offset + 1, offset + rows))
-    keys = F.broadcast(wanted.select(*[F.col(c).alias(f"page_{c}") for c in names]))
-    same = [F.col(c).eqNullSafe(F.col(f"page_{c}")) for c in names]
-    return df.join(keys, reduce(Column.__and__, same), "left_semi").orderBy(*sort_columns(by))
+    return rows_at(df, by, offset, rows, shallow)
 
 
 def page_after(df: DataFrame, last_date, last_id, per_page: int, most: int | None = None) -> DataFrame:
