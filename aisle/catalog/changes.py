@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from aisle.catalog.fraud import LINE_LIMITS, RULES_SQL, flags
 from aisle.catalog.registry import query
 from aisle.functions.money import price
-from aisle.operators import changes, demand, filters, fraud, quality, sales
+from aisle.operators import changes, demand, filters, fraud, key_graph, quality, sales
 from aisle.schemas import ForeignKey
 from aisle.session import scratch_path
 from aisle.sources import tables
@@ -383,3 +384,72 @@ def cascade_key_update(w):
         F.col("n_nationkey").alias("s_nationkey"), (F.col("n_nationkey") + 100).alias("new_key")
     )
     return changes.cascade_key_update(w.raw("supplier"), mapping, "s_nationkey").select("s_suppkey", "s_nationkey")
+
+
+def keyed_tables(w):
+    """Sales with their parents, a forecast row per product, and flags on quantities above 40."""
+    limits = replace(LINE_LIMITS, quantity=40)
+    flagged = fraud.row_rule_flags(w.transactions(), limits, (fraud.QUANTITY,)).select("transaction_id")
+    return {
+        "categories": w.categories(),
+        "products": w.products(),
+        "customers": w.customers(),
+        "stores": w.stores(),
+        "transactions": w.transactions(),
+        "fraud_flags": flagged.withColumn("flag_id", F.col("transaction_id")),
+        "demand_forecast": w.products().select(F.col("product_id").alias("forecast_id"), "product_id"),
+    }
+
+
+@query("""
+, kept AS (SELECT * FROM tx WHERE status = 'completed' AND quantity > 45),
+asked AS (SELECT product_id, category_name FROM products WHERE stock_quantity <= 25),
+lost AS (SELECT product_id FROM asked WHERE product_id NOT IN (SELECT product_id FROM kept)),
+types AS (SELECT DISTINCT category_name FROM products),
+held AS (SELECT DISTINCT category_name FROM products WHERE product_id NOT IN (SELECT product_id FROM lost))
+SELECT DISTINCT 'transactions' AS "table", transaction_id AS key, 'deleted' AS outcome, CAST(NULL AS VARCHAR) AS cause
+FROM tx WHERE status <> 'completed' OR quantity <= 45
+UNION ALL SELECT DISTINCT 'fraud_flags', transaction_id, 'deleted', 'transactions.transaction_id' FROM tx
+WHERE quantity > 40 AND (status <> 'completed' OR quantity <= 45)
+UNION ALL SELECT 'products', CAST(product_id AS VARCHAR), 'deleted', NULL FROM lost
+UNION ALL SELECT 'demand_forecast', CAST(product_id AS VARCHAR), 'deleted', 'products.product_id' FROM lost
+UNION ALL SELECT 'products', CAST(product_id AS VARCHAR), 'refused', 'transactions.product_id' FROM asked
+WHERE product_id IN (SELECT product_id FROM kept)
+UNION ALL SELECT 'categories', category_name, CASE WHEN category_name IN (SELECT * FROM held) THEN 'refused' ELSE 'deleted' END,
+       CASE WHEN category_name IN (SELECT * FROM held) THEN 'products.category_id' END FROM types
+UNION ALL SELECT 'customers', CAST(customer_id AS VARCHAR),
+       CASE WHEN customer_id IN (SELECT customer_id FROM kept) THEN 'refused' ELSE 'deleted' END,
+       CASE WHEN customer_id IN (SELECT customer_id FROM kept) THEN 'transactions.customer_id' END FROM customers
+UNION ALL SELECT 'stores', CAST(store_id AS VARCHAR),
+       CASE WHEN store_id IN (SELECT store_id FROM kept) THEN 'refused' ELSE 'deleted' END,
+       CASE WHEN store_id IN (SELECT store_id FROM kept) THEN 'transactions.store_id' END FROM stores
+""")
+def delete_keys(w):
+    """All but the large completed sales go, with the small products and every category, customer and store they leave free."""
+    tables = keyed_tables(w)
+    requested = {name: tables[name] for name in ("categories", "customers", "stores")}
+    requested["products"] = tables["products"].filter("stock_quantity <= 25")
+    requested["transactions"] = tables["transactions"].filter("status <> 'completed' OR quantity <= 45")
+    return key_graph.delete_keys(tables, requested).outcomes
+
+
+@query("""
+, renamed AS (
+    SELECT product_id AS old_id, CASE WHEN stock_quantity <= 25 THEN product_id + 1000000000000
+           WHEN product_id + 1 NOT IN (SELECT product_id FROM products) THEN product_id + 1 ELSE product_id END AS new_id
+    FROM products
+)
+SELECT 'transactions' AS "table", transaction_id AS key, CAST(new_id AS BIGINT) AS product_id
+FROM tx JOIN renamed ON product_id = old_id
+UNION ALL SELECT 'demand_forecast', CAST(old_id AS VARCHAR), CAST(new_id AS BIGINT) FROM renamed
+UNION ALL SELECT 'products', CAST(new_id AS VARCHAR), CAST(new_id AS BIGINT) FROM renamed
+""")
+def rename_keys(w):
+    """Small products get far keys, the others ask for the next key, which is mostly in use; children follow."""
+    tables = {name: df for name, df in keyed_tables(w).items() if name in ("products", "transactions", "demand_forecast")}
+    far = F.when(F.col("stock_quantity") <= 25, F.lit(10**12)).otherwise(1)
+    mapping = tables["products"].select("product_id", (F.col("product_id") + far).alias("new_key"))
+    changed = key_graph.rename_keys(tables, "products", mapping).tables
+    keys = {"transactions": "transaction_id", "demand_forecast": "forecast_id", "products": "product_id"}
+    parts = [changed[t].select(F.lit(t).alias("table"), F.col(k).cast("string").alias("key"), "product_id") for t, k in keys.items()]
+    return reduce(DataFrame.unionByName, parts)
