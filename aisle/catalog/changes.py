@@ -14,7 +14,7 @@ from aisle.functions.money import price
 from aisle.operators import changes, demand, filters, fraud, key_graph, quality, sales
 from aisle.schemas import ForeignKey
 from aisle.session import scratch_path
-from aisle.sources import tables
+from aisle.sources import batches, tables
 from aisle.sources.warehouse import SCHEMAS
 
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -353,6 +353,24 @@ def unknown_products(w):
     return demand.unknown_products(ids, w.products())
 
 
+@query("""
+SELECT transaction_id, CAST(total_amount AS DOUBLE) AS total_amount, 'stored' AS problem FROM tx
+WHERE status IN ('completed', 'refunded')
+UNION ALL SELECT transaction_id, CAST(total_amount AS DOUBLE), 'transaction_id already stored' FROM tx
+WHERE status = 'completed' AND quantity > 40
+""")
+def append_batches(w):
+    """Two batches appended, the second twice; it brings large sales of the first again, which are refused."""
+    folder, schema = scratch_path(w.spark, "appended"), "transaction_id string, total_amount decimal(12,2)"
+    rows = w.transactions()
+    first, again = rows.filter("status = 'completed'"), "status = 'refunded' OR (status = 'completed' AND quantity > 40)"
+    for batch, new in (("first", first), ("second", rows.filter(again)), ("second", rows.filter(again))):
+        sent = new.select("transaction_id", "total_amount")
+        refused = batches.append_batch(sent, folder, "transactions", batch, "transaction_id", schema)
+    stored = batches.read_batches(w.spark, folder, "transactions", schema).withColumn("problem", F.lit("stored"))
+    return stored.unionByName(refused)
+
+
 # Cascades
 
 

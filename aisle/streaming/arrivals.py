@@ -1,8 +1,8 @@
 """Arrival rules and the stock ledger over a stream of new transactions.
 
-One ``foreachBatch`` writer per stream. Every output row lies in a partition named after its batch
-and is written with dynamic partition overwrite, so a batch repeated after a failure replaces its
-own rows. Nothing is dropped for being late: the rapid rule looks up stored history instead of
+One ``foreachBatch`` writer per stream. Flags, stock log and sold units of a batch appear together, by one
+commit (:mod:`aisle.sources.batches`); the history of the rapid rule lies in partitions named after the
+batch and is overwritten, so a batch repeated after a failure replaces its own rows. Nothing is dropped for being late: the rapid rule looks up stored history instead of
 keeping windowed state.
 """
 
@@ -17,6 +17,7 @@ from aisle.operators.fraud import DEFAULT, FLAG_COLUMNS, RAPID, SEVERITY, Thresh
 from aisle.operators.inventory import sale_log, sold_units, subtract_sold
 from aisle.plans.neighbours import rows_after_close_arrival
 from aisle.plans.sizes import KEY_ROWS
+from aisle.sources.batches import read_batches, write_batch
 
 FILES_PER_DAY = 4
 HISTORY_COLUMNS = ["transaction_id", "customer_id", "transaction_date", "status"]
@@ -104,7 +105,8 @@ def _earlier_history(batch: DataFrame, batch_id: int, path: str, limits: Thresho
 def arrival_writer(folder: str, limits: Thresholds = DEFAULT, *, rapid: bool = True, stock: bool = True):
     """``foreachBatch`` function writing below ``folder``:
 
-    ``history`` (by day), ``flags``, ``sale_log`` and ``sold`` (units per product and batch).
+    ``history`` (by day), ``flags``, ``sale_log`` and ``sold`` (units per product and batch), and ``commits``,
+    by which the last three of a batch count from one moment on.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -117,10 +119,10 @@ def arrival_writer(folder: str, limits: Thresholds = DEFAULT, *, rapid: bool = T
                 _replace_batch(_by_day(rows), batch_id, history, ("day",))
                 earlier = _earlier_history(batch, batch_id, history, limits)
                 flags = flags.unionByName(rapid_arrivals(batch, earlier, limits))
-            _replace_batch(flags, batch_id, f"{folder}/flags")
+            parts = {"flags": flags}
             if stock:
-                _replace_batch(sale_log(batch), batch_id, f"{folder}/sale_log")
-                _replace_batch(sold_units(batch), batch_id, f"{folder}/sold")
+                parts |= {"sale_log": sale_log(batch), "sold": sold_units(batch)}
+            write_batch(batch.sparkSession, folder, str(batch_id), parts)
         finally:
             batch.unpersist()
 
@@ -144,19 +146,19 @@ def start_arrivals(
 
 
 def arrival_flags(spark: SparkSession, folder: str) -> DataFrame:
-    schema = "transaction_id bigint, rule string, flag_reason string, severity string, batch_id bigint"
-    return spark.read.schema(schema).parquet(f"{folder}/flags").select(*FLAG_COLUMNS)
+    schema = "transaction_id bigint, rule string, flag_reason string, severity string"
+    return read_batches(spark, folder, "flags", schema).select(*FLAG_COLUMNS)
 
 
 def arrival_sale_log(spark: SparkSession, folder: str) -> DataFrame:
     schema = (
         "product_id bigint, store_id bigint, change_type string, quantity_change int, "
-        "log_date timestamp_ntz, notes string, batch_id bigint"
+        "log_date timestamp_ntz, notes string"
     )
-    return spark.read.schema(schema).parquet(f"{folder}/sale_log").drop("batch_id")
+    return read_batches(spark, folder, "sale_log", schema)
 
 
 def stock_after_arrivals(spark: SparkSession, folder: str, products: DataFrame) -> DataFrame:
     """Products with the units of every batch so far taken off their opening stock."""
-    ledger = spark.read.schema("product_id bigint, sold bigint, batch_id bigint").parquet(f"{folder}/sold")
+    ledger = read_batches(spark, folder, "sold", "product_id bigint, sold bigint")
     return subtract_sold(products, ledger.groupBy("product_id").agg(F.sum("sold").alias("sold")))
