@@ -10,9 +10,10 @@ dictionaries have not seen. Labels are read for learning alone.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from aisle.llm.common import remainder, text_of
 
 PER_CLASS = 3000  # labelled documents of either kind that the classifier is fitted on, at most
-BASE_BYTES = 250_000  # ordinary prose in both dictionaries, at most
+BASE_BYTES = 250_000  # ordinary prose in both dictionaries, at most, chosen by a hash over the whole texts
 WINDOW, STEP = 72, 60
 # Reaches the whole dictionary and takes matches of four bytes, at a cost of a few microseconds a window.
 SEARCH = {"window_log": 20, "hash_log": 18, "chain_log": 20, "search_log": 6, "min_match": 4, "target_length": 16, "strategy": 5}
@@ -52,6 +53,17 @@ def windows(data: bytes) -> list[bytes]:
     return [data[i : i + WINDOW] for i in range(0, max(1, len(data) - WINDOW + STEP), STEP)]
 
 
+def by_hash(found: Iterable[bytes], most: int) -> bytes:
+    """Different pieces in the order of their hash, up to ``most`` bytes."""
+    chosen, held = [], 0
+    for piece in sorted(set(found), key=lambda p: (crc32(p), p)):
+        held += len(piece) + 1
+        if held > most:
+            break
+        chosen.append(piece)
+    return b" ".join(chosen)
+
+
 def segments(data: bytes) -> set[bytes]:
     found = set()
     for word in set(data.split()):
@@ -146,10 +158,8 @@ def fit(texts: list[str], toxic: list[int], totals: tuple[int, int] | None = Non
         size = len(STEPS_UP) * 2 + 4
         return Model(b"", b"", np.zeros(size), np.ones(size), np.r_[np.zeros(size), constant])
     telling, common = telling_segments(bad, good)
-    prose = [windows(d)[::2] for d in good]
-    depth = max(map(len, prose))
-    spread = [p[i] for i in range(depth) for p in prose if i < len(p)]
-    base = b" ".join(spread)[:BASE_BYTES]
+    # the odd or the even windows of a text, so that its pieces do not overlap
+    base = by_hash((w for d in good for w in windows(d)[crc32(d) % 2 :: 2]), BASE_BYTES)
     dictionaries = [b"".join(head) + b" " + base for head in (telling, common)]
     rest = np.flatnonzero(third)
     x = np.stack([features(texts[i], *dictionaries) for i in rest])
@@ -170,7 +180,8 @@ def probability(model: Model, texts: list[str]) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, divisor: int = 4, left_out: int = 2, most: int = PER_CLASS) -> Model:
     """Fit on labelled documents outside the held-out remainder, at most ``most`` of either kind by a hash of the id.
 
-    The ids are chosen from the labels alone and broadcast (2 x most rows); only their texts reach the driver.
+    The ids are chosen from the labels alone and broadcast (2 x most rows); only their texts reach the driver, one
+    text an id: of repeated ids the first by the text's order.
     """
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(divisor) != left_out))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -178,7 +189,8 @@ def learn(docs: DataFrame, labels: DataFrame, divisor: int = 4, left_out: int =
     chosen = usable.filter("toxic = 1").orderBy(*order).limit(most).unionByName(
         usable.filter("toxic = 0").orderBy(*order).limit(most)
     )
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").collect()
+    told = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = told.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     number = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], (number.get(0, 0), number.get(1, 0)))

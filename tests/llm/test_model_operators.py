@@ -194,6 +194,21 @@ def test_toxicity_on_held_out_rows_and_label_independence(spark):
     assert again == {i: r["score"] for i, r in found.items()}
 
 
+def test_toxicity_takes_its_prose_from_whole_texts():
+    pieces = [f"piece{i:05d}".encode() for i in range(2000)]
+    held = toxicity.by_hash(iter(pieces * 2), 3000).split(b" ")
+    assert held == sorted(set(pieces), key=lambda p: (zlib.crc32(p), p))[: len(held)] and len(held) == 3000 // 11
+    depth = sorted(int(p[5:]) for p in held)
+    assert depth[0] < 200 and depth[-1] > 1800  # from all over, not the openings
+
+
+def test_toxicity_reads_one_text_of_a_repeated_id(spark):
+    docs, labels, _ = labelled(spark)
+    one = toxicity.learn(docs, labels)
+    many = toxicity.learn(docs.unionByName(docs), labels)
+    assert one.toxic == many.toxic and one.ordinary == many.ordinary and np.array_equal(one.weights, many.weights)
+
+
 def test_toxicity_defines_null_empty_and_missing_labels(spark):
     docs, labels, _ = labelled(spark, 120)
     odd = table(spark, [None, "", "  "], [1000, 1001, None])
