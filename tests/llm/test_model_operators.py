@@ -230,6 +230,83 @@ def test_quality_on_held_out_rows(spark):
     assert len(rows(quality.classify(docs, labels.limit(0)))) == len(told)
 
 
+def plain_co_training(seen, labels, count):
+    """The same rounds over plain matrices: ``seen`` has both views, ``labels`` the quality by row, None or 'out'."""
+    given = np.asarray([labels.get(i, -1) for i in range(count)], float)
+    center, scale = [x.mean(axis=0) for x in seen], [x.std(axis=0) + 1e-3 for x in seen]
+    xs = [np.c_[np.clip((x - c) / s, -8, 8), np.ones(count)] for x, c, s in zip(seen, center, scale, strict=True)]
+
+    def step(x, w, y, weight):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        keep = np.r_[np.ones(len(w) - 1), 1e-6]
+        hessian = sum(h * np.outer(r, r) for r, h in zip(x, weight * p * (1 - p), strict=True)) + np.diag(keep + 1e-9)
+        move = np.linalg.solve(hessian, x.T @ (weight * (p - y)) + keep * w)
+        return w - move / max(1, np.linalg.norm(move) / 2)
+
+    ws = [np.zeros(x.shape[1]) for x in xs]
+    for _ in range(quality.FIRST_STEPS):
+        ws = [step(x, w, np.maximum(given, 0), given >= 0) for x, w in zip(xs, ws, strict=True)]
+    share, open_, told = given[given >= 0].mean(), (given == -1).sum(), (given >= 0).sum()
+    for turn in range(1, quality.ROUNDS + 1):
+        wanted, guesses = quality.PER_ROUND * turn * open_, []
+        for x, w in zip(xs, ws, strict=True):
+            logit = np.clip(x @ w, -30, 30)
+            low = next((e / 32 for e in range(-959, 0) if (logit[given == -1] <= e / 32).sum() >= wanted * (1 - share)), 0)
+            high = next((e / 32 for e in range(959, 0, -1) if (logit[given == -1] >= e / 32).sum() >= wanted * share), 0)
+            budget, heavy = quality.TAUGHT * turn / quality.ROUNDS * told, np.zeros(count)
+            sides = [((given == -1) & (logit <= low) & (logit < 0), 1 - share), ((given == -1) & (logit >= high) & (logit >= 0), share)]
+            if all(side.any() for side, _ in sides):
+                for side, part in sides:
+                    heavy[side] = budget * part / side.sum() * min(1, wanted * part / side.sum())
+            guesses.append((logit >= high, heavy))
+        for _ in range(quality.STEPS):
+            new = []
+            for v in (0, 1):
+                guess, heavy = guesses[1 - v]
+                new.append(step(xs[v], ws[v], np.where(given >= 0, given, guess), np.where(given >= 0, 1, heavy)))
+            ws = new
+    return ws, xs
+
+
+def test_quality_rounds_match_plain_matrices(spark):
+    docs, _, told = labelled(spark, 240)
+    docs = docs.withColumns({"source": F.concat(F.lit("s"), F.col("doc_id") % 4), "n_chars": F.length("text")}).drop("length")
+    few = spark.createDataFrame([(i, q) for i, q, _ in told if i % 3], "doc_id bigint, quality int")
+    rows_ = quality.with_labels(quality.with_features(docs), few, 4, 2).persist()
+    model = quality.co_train(rows_)
+    held = rows_.toArrow().to_batches()
+    seen = [np.concatenate([quality.views_of(b)[v] for b in held if b.num_rows]) for v in (0, 1)]
+    parts = [(r["part"], r["quality"]) for b in held for r in b.to_pylist()]
+    labels = {i: {"fit": q, "free": -1}.get(part, -2) for i, (part, q) in enumerate(parts)}
+    assert Counter(p for p, _ in parts)["free"] == 80 and {p for p, _ in parts} == {"fit", "join", "free", "out"}
+    ws, xs = plain_co_training(seen, labels, len(parts))
+    for view, w, x in zip((model.text, model.page), ws, xs, strict=True):
+        assert np.allclose(view.weights, w, atol=1e-6) and np.allclose(x @ w, x @ view.weights, atol=1e-5)
+
+
+def test_quality_finds_the_rare_kind(spark):
+    docs, labels, told = labelled(spark)
+    found = {r["doc_id"]: r for r in rows(quality.classify(docs, labels.filter("doc_id % 3 < 2 or doc_id > 300")))}
+    out = [(found[i]["score"], found[i]["predicted"], good) for i, good, _ in told if found[i]["held_out"]]
+    poor = [s for s, _, good in out if not good]
+    fine = [s for s, _, good in out if good]
+    area = sum((p < f) + 0.5 * (p == f) for p in poor for f in fine) / (len(poor) * len(fine))
+    caught = [good for _, p, good in out if p == 0]
+    assert area > 0.95 and caught.count(0) / len(poor) > 0.85 and caught.count(0) / len(caught) > 0.85
+
+
+def test_quality_defines_odd_rows(spark):
+    docs, labels, _ = labelled(spark, 120)
+    odd = docs.withColumn("n_chars", F.when(F.col("doc_id") % 2 == 0, "many").otherwise("12")).withColumn("quality", F.lit("x")).withColumn("part", F.lit(1))
+    more = odd.unionByName(odd.limit(3)).unionByName(odd.limit(2).withColumn("doc_id", F.lit(None).cast("bigint")).withColumn("text", F.lit(None).cast("string")))
+    found = rows(quality.classify(more, labels.unionByName(labels).unionByName(labels.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")))))
+    assert len(found) == 125 and all(0 <= r["score"] <= 1 for r in found)
+    assert len({r["text_score"] for r in found if r["doc_id"] is None}) == 1  # their pages differ
+    assert quality.classify(docs.limit(0), labels).collect() == []
+    none = {r["score"] for r in rows(quality.classify(docs, labels.filter("quality = 1")))}
+    assert none == {1.0}
+
+
 @pytest.mark.skipif(not DATA.is_dir(), reason="the documents are not here")
 def test_classifiers_on_the_given_documents(spark):
     docs, labels = (spark.read.parquet(str(DATA / f"{name}.parquet")) for name in ("documents", "labels"))
