@@ -14,7 +14,7 @@ from aisle.functions.money import price
 from aisle.operators import changes, demand, filters, fraud, key_graph, quality, sales
 from aisle.schemas import ForeignKey
 from aisle.session import scratch_path
-from aisle.sources import batches, tables
+from aisle.sources import batches, tables, versions
 from aisle.sources.warehouse import SCHEMAS
 
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -335,6 +335,31 @@ def update_status(w):
     return changes.update_status(new, w.transactions()).select("transaction_id", "status")
 
 
+@query("""
+, old AS (
+    SELECT transaction_id, status, transaction_date, strftime(transaction_date, '%Y-%m') AS month FROM tx
+)
+SELECT transaction_id, month, month IN (SELECT month FROM old WHERE status = 'pending' AND transaction_date < DATE '1996-01-01') AS rewritten,
+       CASE WHEN status = 'pending' AND transaction_date < DATE '1996-01-01' THEN 'cancelled' ELSE status END AS status
+FROM old
+""")
+def update_status_stored(w):
+    """The same orders cancelled where they are stored by month, twice; only months that hold some are rewritten."""
+    rows = w.transactions()
+    month = F.date_format("transaction_date", "yyyy-MM").alias("month")
+    stored = versions.Stored(
+        scratch_path(w.spark, "by-month"), "transaction_id string, status string, month string", "month", "transaction_id"
+    )
+    versions.create(rows.select("transaction_id", "status", month), stored)
+    first = set(versions.manifest(w.spark, stored)[1].values())
+    old = filters.between_dates(w.transactions("pending"), None, "1995-12-31")
+    new = old.select("transaction_id", F.lit("cancelled").alias("status"))
+    for _ in range(2):
+        versions.rewrite(new, stored, "cancel old orders", changes.update_status)
+    found = versions.read(w.spark, stored, with_write=True)
+    return found.select("transaction_id", "month", (~F.col("write").isin(first)).alias("rewritten"), "status")
+
+
 @query(RULES_SQL + """
 SELECT flag_id, severity, CAST(CASE WHEN flagged_at < TIMESTAMP '2024-01-15' THEN 1 ELSE resolved END AS BIGINT)
        AS resolved
