@@ -20,6 +20,7 @@ KINDS = ["email", "ip", "card", "phone"]
 ROUNDS = 3
 LEAST_INSTANCES = 3
 CELLS = 1 << 17  # hash cells by which word pairs are sifted before they are counted
+PART = 64  # in a PARTth of the documents a pattern may already be too common to become a sure one
 PATTERN_CONFIDENCE = 0.5
 INSTANCE_CONFIDENCE = 0.8
 CONTEXT_CHARS = 80
@@ -170,6 +171,19 @@ def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return sifted.groupBy("pattern").agg(F.count("*").alias("occurrences")).join(patterns, "pattern")
 
 
+def hopeful_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Of the ``patterns`` (pattern, most, other columns) those whose share may still reach PATTERN_CONFIDENCE.
+
+    ``most`` is the most occurrences of a pattern that can precede known instances of one kind, null if there are too
+    few instances. What stands in a PARTth of the documents stands in the corpus, so a pattern that is too common there,
+    such as "of the", can't become a sure one and need not be counted in all texts.
+    """
+    some = patterns.filter("most IS NOT NULL")
+    part = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PART)) == 0)
+    common = occurrences(part, some).filter(F.col("most") < PATTERN_CONFIDENCE * F.col("occurrences"))
+    return some.join(common.select("pattern"), "pattern", "left_anti")
+
+
 def accepted_instances(docs: DataFrame, spans: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(kind, instance) of the candidates that high-confidence patterns support, by scoring the graph in turns.
 
@@ -181,11 +195,18 @@ def accepted_instances(docs: DataFrame, spans: DataFrame, rounds: int = ROUNDS)
         .agg(F.count("*").alias("times"), F.max(F.col("seed").cast("double")).alias("seed")),
         "pattern-instances",
     )
+    of_kind = [F.col("kind") == i for i in range(len(KINDS))]
+    most = [F.when(F.count_if(k) >= LEAST_INSTANCES, F.sum(F.when(k, F.col("times")))) for k in of_kind]
     frequent = stored(
-        edges.groupBy("pattern").agg(F.count("*").alias("instances")).filter(F.col("instances") >= LEAST_INSTANCES),
+        edges.groupBy("pattern")
+        .agg(F.count("*").alias("instances"), F.greatest(*most).alias("most"))
+        .filter(F.col("instances") >= LEAST_INSTANCES),
         "frequent-patterns",
     )
-    counted = stored(occurrences(docs, frequent), "pattern-occurrences")
+    hopeful = stored(hopeful_patterns(docs, frequent).select("pattern"), "hopeful-patterns")
+    counts = occurrences(docs, hopeful)
+    # a pattern without a count is never sure, but its instances and seeds belong to the graph
+    counted = stored(frequent.drop("most").join(counts, "pattern", "left"), "pattern-occurrences")
     total = edges.count()
     graph = stored(
         attach_groups(edges, counted, "pattern", "instances", total)

@@ -377,6 +377,26 @@ def test_patterns_with_few_instances_count_in_a_large_corpus(spark):
     assert found[8] == "email:16:34"
 
 
+def test_word_pairs_too_common_to_be_sure_are_not_counted_in_all_texts(spark, monkeypatch):
+    """Only patterns that may become sure are counted over the corpus; what is found stays the same."""
+    counted, plain = [], pii.occurrences
+
+    def watched(docs, patterns):
+        counted.append((docs.count(), {r["pattern"] for r in patterns.select("pattern").collect()}))
+        return plain(docs, patterns)
+
+    monkeypatch.setattr(pii, "occurrences", watched)
+    known = [f"please contact {'abcdefgh'[i]}@example.org now" for i in range(8)]
+    common = [f"end of the {'abcdefgh'[i]}@example.net" for i in range(8)] + ["one of the two of the most of the others"] * 1200
+    odd = ["please contact zed(at)example", "out of the yod(at)example"]
+    texts = [*known, *common, *odd]
+    found = {r["doc_id"]: r["spans"] for r in rows(pii.find_pii(table(spark, texts)))}
+    whole = set().union(*[patterns for docs, patterns in counted if docs == len(texts)])
+    assert "please contact" in whole and "of the" not in whole
+    assert found[len(texts) - 2] == "email:15:29" and found[len(texts) - 1] == ""
+    assert all(found[i] == "email:15:28" for i in range(8))
+
+
 def test_masking_replaces_spans_and_keeps_the_rest(spark):
     df = table(spark, ["call +1 (555) 010-9999 or a@b.cd now", None, "clean"]).withColumn("n_chars", F.length("text").cast("bigint"))
     found = {r["doc_id"]: r for r in rows(pii.mask_pii(df))}
