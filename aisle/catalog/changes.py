@@ -13,7 +13,7 @@ from aisle.catalog.registry import query
 from aisle.functions.money import price
 from aisle.operators import changes, demand, filters, fraud, key_graph, quality, sales
 from aisle.schemas import ForeignKey
-from aisle.session import scratch_path
+from aisle.session import scratch_path, stored
 from aisle.sources import batches, tables, versions
 from aisle.sources.warehouse import SCHEMAS
 
@@ -387,13 +387,13 @@ WHERE status = 'completed' AND quantity > 40
 def append_batches(w):
     """Two batches appended, the second twice; it brings large sales of the first again, which are refused."""
     folder, schema = scratch_path(w.spark, "appended"), "transaction_id string, total_amount decimal(12,2)"
-    rows = w.transactions()
+    rows = stored(w.transactions().select("transaction_id", "total_amount", "status", "quantity"), "sales")
     first, again = rows.filter("status = 'completed'"), "status = 'refunded' OR (status = 'completed' AND quantity > 40)"
     for batch, new in (("first", first), ("second", rows.filter(again)), ("second", rows.filter(again))):
         sent = new.select("transaction_id", "total_amount")
         refused = batches.append_batch(sent, folder, "transactions", batch, "transaction_id", schema)
-    stored = batches.read_batches(w.spark, folder, "transactions", schema).withColumn("problem", F.lit("stored"))
-    return stored.unionByName(refused)
+    kept = batches.read_batches(w.spark, folder, "transactions", schema).withColumn("problem", F.lit("stored"))
+    return kept.unionByName(refused)
 
 
 # Cascades

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisle.session import scratch_path
+from aisle.session import stored  # noqa: F401  the operators take it from here
 
 WHITE_SPACE = r"[ \t-\r]+"
 NOT_WHITE_SPACE = r"[^ \t-\r]+"
@@ -23,16 +23,6 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared scratch folder and read it back.
-
-    Cuts lineage: what was chosen once stays the same when executors are lost and tasks run again.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -14,6 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aisle.session import stored
+
 COMMITS = "batch string, write string"
 
 
@@ -62,7 +64,8 @@ def append_batch(rows: DataFrame, folder: str, name: str, batch: str, key: str,
     """Append one batch of a table whose ``key`` is unique; the refused rows, whole, with their ``problem``.
 
     Refused are rows without a key, of a key that another batch stored, and all rows of a key that the batch
-    repeats. The table's keys are reduced to those of the batch before they are compared. A batch that was
+    repeats. The table's keys are reduced to those of the batch before they are compared; the keys found bad are
+    stored, so they are looked for once and only they move when the rows are told apart, if they are few. A batch that was
     stored before is not stored again, and the answer is then what it was refused for the first time.
     """
     spark = rows.sparkSession
@@ -85,6 +88,7 @@ def append_batch(rows: DataFrame, folder: str, name: str, batch: str, key: str,
         .filter(f"problem IS NOT NULL AND `{key}` IS NOT NULL")
         .select(key, "problem")
     )
+    bad = stored(bad, "refused-keys")
     judged = rows.join(bad, key, "left").select(
         *rows.columns, F.when(F.col(key).isNull(), f"missing {key}").otherwise(F.col("problem")).alias("problem")
     )

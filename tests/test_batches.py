@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from conftest import rows_of
 
+import __spark_entry__ as contract
 from aisle.sources import batches
+from aisle.sources.warehouse import Warehouse
 from aisle.streaming import arrivals
 
 SCHEMA = "id bigint, note string"
@@ -53,3 +55,18 @@ def test_tries_without_a_commit_are_not_read(spark, tmp_path):
     assert batches.write_batch(spark, folder, "one", {"notes": spark.createDataFrame([(1, "a")], SCHEMA)})
     assert not batches.write_batch(spark, folder, "one", {"notes": spark.createDataFrame([(2, "b")], SCHEMA)})
     assert rows_of(batches.read_batches(spark, folder, "notes", SCHEMA)) == [(1, "a")]
+
+
+def test_batches_of_a_join_read_it_once(spark, tmp_path):
+    """What is refused and what is stored come from keys and sales that were stored, not from the join again."""
+    orders = spark.range(1, 200).selectExpr("id AS o_orderkey", "id % 9 AS o_custkey", "array('F', 'O', 'P')[id % 3] AS o_orderstatus", "1D AS o_totalprice", "TIMESTAMP_NTZ '2000-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority")
+    lines = spark.range(800).selectExpr("id % 199 + 1 AS l_orderkey", "id % 5 AS l_partkey", "id % 3 AS l_suppkey", "CAST(id AS INT) AS l_linenumber", "CAST(id % 50 + 1 AS DOUBLE) AS l_quantity", "id + 0.5D AS l_extendedprice")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = contract.queries()["append_batches"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "Aggregate" not in plan
+    sales = Warehouse(spark, str(tmp_path)).transactions()
+    assert found.filter("problem = 'stored'").count() == sales.filter("status IN ('completed', 'refunded')").count()
+    again = sales.filter("status = 'completed' AND quantity > 40").count()
+    assert found.filter("problem = 'transaction_id already stored'").count() == again > 0
