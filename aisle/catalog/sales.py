@@ -11,6 +11,7 @@ from aisle.functions.labels import short_label, without_prefix
 from aisle.operators import filters, paging, ranking, sales
 from aisle.operators.fraud import HIGH_AMOUNT, QUANTITY, Thresholds, row_rule_flags
 from aisle.plans.positions import positions
+from aisle.session import stored
 
 START, END, AS_OF = "2000-01-01", "2000-12-31", "2001-08-01"
 DETAIL_SQL = """
@@ -421,8 +422,11 @@ SELECT transaction_id, transaction_date, CAST(total_amount AS DOUBLE) AS total_a
 ORDER BY transaction_date DESC, transaction_id LIMIT 100 OFFSET 40000
 """)
 def paginate_deep(w):
-    """Page 401 of 100: too far for a bounded top-k, so counts between split points find its range first."""
-    rows = w.transactions().select("transaction_id", "transaction_date", "total_amount")
+    """Page 401 of 100: too far for a bounded top-k, so counts between split points find its range first.
+
+    Each round reads the listing twice, so line items and orders are joined once and stored.
+    """
+    rows = stored(w.transactions().select("transaction_id", "transaction_date", "total_amount"), "listing")
     return paging.page_rows(rows, paging.NEWEST, paging.BY_ID, 401, 100)
 
 

@@ -60,7 +60,8 @@ def page_rows(
 
     Near the start a bounded top-k with an offset suffices. A deep page would make that top-k hold
     everything before it, so there counts between split points of the order lead to the range the page
-    lies in, and the top-k runs inside that range. ``order`` and ``tie_break`` together should tell rows
+    lies in, and the top-k runs inside that range. That reads ``df`` several times: if it is a join, it
+    should be stored before. ``order`` and ``tie_break`` together should tell rows
     apart; which of several equal rows a page has is otherwise undefined.
     """
     offset, rows = page_bounds(page, per_page, most)

@@ -7,8 +7,10 @@ import random
 
 import pytest
 
+import __spark_entry__ as contract
 from aisle.operators import paging
 from aisle.plans import positions, selection
+from aisle.sources.warehouse import Warehouse
 
 TABLE = "d timestamp_ntz, t timestamp, n double, k bigint, note string"
 
@@ -69,3 +71,15 @@ def test_a_deep_page_checkpoints_nothing(table, monkeypatch):
     monkeypatch.setattr(positions, "materialise", lambda df: pytest.fail("rows were stored"))
     page = paging.page_rows(table, [("d", False)], [("k", True)], 40, 50, shallow=100)
     assert "TakeOrderedAndProject" in page._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_deep_page_of_a_join_joins_once(spark, tmp_path):
+    orders = spark.range(1, 9001).selectExpr("id AS o_orderkey", "id AS o_custkey", "'F' AS o_orderstatus", "1D AS o_totalprice", "TIMESTAMP_NTZ '2000-01-01' + make_dt_interval(id % 700) AS o_orderdate", "'1-URGENT' AS o_orderpriority")
+    lines = spark.range(45_000).selectExpr("id % 9000 + 1 AS l_orderkey", "id AS l_partkey", "id % 3 AS l_suppkey", "CAST(id AS INT) AS l_linenumber", "1D AS l_quantity", "id + 0.5D AS l_extendedprice")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = contract.queries()["paginate_deep"](spark, str(tmp_path))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    every = Warehouse(spark, str(tmp_path)).transactions().select("transaction_id", "transaction_date").collect()
+    ids = sorted(every, key=lambda r: (-r["transaction_date"].toordinal(), r["transaction_id"]))[40_000:40_100]
+    assert [r["transaction_id"] for r in found.collect()] == [r["transaction_id"] for r in ids]
