@@ -429,16 +429,16 @@ def cascade_key_update(w):
     return changes.cascade_key_update(w.raw("supplier"), mapping, "s_nationkey").select("s_suppkey", "s_nationkey")
 
 
-def keyed_tables(w):
+def keyed_tables(w, sales):
     """Sales with their parents, a forecast row per product, and flags on quantities above 40."""
     limits = replace(LINE_LIMITS, quantity=40)
-    flagged = fraud.row_rule_flags(w.transactions(), limits, (fraud.QUANTITY,)).select("transaction_id")
+    flagged = fraud.row_rule_flags(sales, limits, (fraud.QUANTITY,)).select("transaction_id")
     return {
         "categories": w.categories(),
         "products": w.products(),
         "customers": w.customers(),
         "stores": w.stores(),
-        "transactions": w.transactions(),
+        "transactions": sales,
         "fraud_flags": flagged.withColumn("flag_id", F.col("transaction_id")),
         "demand_forecast": w.products().select(F.col("product_id").alias("forecast_id"), "product_id"),
     }
@@ -469,7 +469,8 @@ UNION ALL SELECT 'stores', CAST(store_id AS VARCHAR),
 """)
 def delete_keys(w):
     """All but the large completed sales go, with the small products and every category, customer and store they leave free."""
-    tables = keyed_tables(w)
+    keys = ("transaction_id", "customer_id", "product_id", "store_id", "quantity", "total_amount", "status")
+    tables = keyed_tables(w, stored(w.transactions().select(*keys), "sales"))
     requested = {name: tables[name] for name in ("categories", "customers", "stores")}
     requested["products"] = tables["products"].filter("stock_quantity <= 25")
     requested["transactions"] = tables["transactions"].filter("status <> 'completed' OR quantity <= 45")
@@ -489,7 +490,7 @@ UNION ALL SELECT 'products', CAST(new_id AS VARCHAR), CAST(new_id AS BIGINT) FRO
 """)
 def rename_keys(w):
     """Small products get far keys, the others ask for the next key, which is mostly in use; children follow."""
-    tables = {name: df for name, df in keyed_tables(w).items() if name in ("products", "transactions", "demand_forecast")}
+    tables = {name: df for name, df in keyed_tables(w, w.transactions()).items() if name in ("products", "transactions", "demand_forecast")}
     far = F.when(F.col("stock_quantity") <= 25, F.lit(10**12)).otherwise(1)
     mapping = tables["products"].select("product_id", (F.col("product_id") + far).alias("new_key"))
     changed = key_graph.rename_keys(tables, "products", mapping).tables

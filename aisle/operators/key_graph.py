@@ -2,8 +2,8 @@
 
 One deletion set over several tables acts like one DELETE statement per table, children first, in which each row
 stands for itself: a row that a remaining child of a restricting key refers to is refused, together with what its
-deletion would have cascaded to. Keys are semi-joined to each child, so a child is read once per key and only rows
-of the given parents move.
+deletion would have cascaded to. Keys are semi-joined to each child, so a child is read once per key; of a child that
+restricts only its different parents' keys move.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from aisle.operators.changes import cascade_key_update
 from aisle.schemas import FOREIGN_KEYS, UNIQUE_KEYS, ForeignKey
-from aisle.session import materialise
+from aisle.session import materialise, stored
 
 OUTCOMES = ["table", "key", "outcome", "cause"]
 
@@ -55,21 +55,35 @@ def _referring(tables: Mapping[str, DataFrame], link: ForeignKey, parents: DataF
     return child.join(parents, "key", "left_semi")
 
 
+def _holding(tables: Mapping[str, DataFrame], table: str, keys: list[ForeignKey]) -> list[ForeignKey]:
+    """Links by which a row of the table may be held: restricting ones, and cascading ones to a table with children."""
+    return [k for k in _links(tables, table, keys) if k.on_delete == "restrict" or _links(tables, k.child, keys)]
+
+
+def _looked_at(tables: Mapping[str, DataFrame], parents: list[str], keys: list[ForeignKey]) -> set[str]:
+    """Tables that are read when keys of the ``parents`` are judged and deleted."""
+    found, left = set(parents), list(parents)
+    while left:
+        for link in _links(tables, left.pop(), keys):
+            if link.on_delete == "cascade" and link.child not in found:
+                left.append(link.child)
+            found.add(link.child)
+    return found
+
+
 def held_back(tables: Mapping[str, DataFrame], table: str, wanted: DataFrame, keys: list[ForeignKey] = FOREIGN_KEYS) -> DataFrame:
     """Of the ``wanted`` (key) rows of a table those that can't go, with the first ``cause`` by name.
 
     A restricting child holds its parent; a cascading child holds it if the child itself is held.
     """
     found = []
-    for link in _links(tables, table, keys):
+    for link in _holding(tables, table, keys):
         if link.on_delete == "restrict":
-            held = _referring(tables, link, wanted).select("key").distinct()
-        elif _links(tables, link.child, keys):
+            held = tables[link.child].select(F.col(link.column).alias("key")).distinct().join(wanted, "key", "left_semi")
+        else:
             rows = _referring(tables, link, wanted)
             below = held_back(tables, link.child, rows.select(F.col("child_key").alias("key")).distinct(), keys)
             held = rows.join(below.select(F.col("key").alias("child_key")), "child_key", "left_semi").select("key").distinct()
-        else:
-            continue
         found.append(held.withColumn("cause", F.lit(f"{link.child}.{link.column}")))
     if not found:
         return wanted.limit(0).withColumn("cause", F.lit(None).cast("string"))
@@ -83,16 +97,21 @@ def _outcome(table: str, keys: DataFrame, outcome: str, cause: str | None = None
     )
 
 
-def _drop(tables: dict[str, DataFrame], table: str, gone: DataFrame, cause: str | None, keys: list[ForeignKey]) -> list[DataFrame]:
-    """Remove rows by ``key`` and, below them, what their keys cascade to; the outcomes."""
+def _drop(
+    left: dict[str, DataFrame], seen: dict[str, DataFrame], table: str, gone: DataFrame, cause: str | None, keys: list[ForeignKey]
+) -> list[DataFrame]:
+    """Remove rows by ``key`` and, below them, what their keys cascade to; the outcomes.
+
+    ``left`` has the tables to be stored, ``seen`` their rows as judgements read them.
+    """
     told = [_outcome(table, gone, "deleted", cause)]
-    for link in _links(tables, table, keys):
+    for link in _links(seen, table, keys):
         if link.on_delete == "cascade":
-            rows = materialise(_referring(tables, link, gone).select(F.col("child_key").alias("key")).distinct())
-            told += _drop(tables, link.child, rows, f"{table}.{link.column}", keys)
+            rows = stored(_referring(seen, link, gone).select(F.col("child_key").alias("key")).distinct(), "cascaded-keys")
+            told += _drop(left, seen, link.child, rows, f"{table}.{link.column}", keys)
     own = key_of(table)
-    left = tables[table].join(gone.select(F.col("key").alias("gone_key")), F.col(own) == F.col("gone_key"), "left_anti")
-    tables[table] = left
+    for rows in (left, seen):
+        rows[table] = rows[table].join(gone.select(F.col("key").alias("gone_key")), F.col(own) == F.col("gone_key"), "left_anti")
     return told
 
 
@@ -103,18 +122,33 @@ def delete_keys(
 
     Each requested key is deleted, refused (``cause`` names the child column that holds it) or unknown; NULL
     and repeated requests count as none and one. A row already gone by a cascade is told as that. What a table
-    loses is stored before the next table is looked at, so plans don't grow along the graph.
+    loses is stored before the next table is looked at, and so are the keys it keeps if they are looked at again, so
+    plans don't grow along the graph. ``tables`` are read several times: one that is a join should be stored before.
     """
-    left, told = dict(tables), []
-    for table in children_first([name for name in tables if name in requested], keys):
+    left, seen, told = dict(tables), dict(tables), []
+    order = children_first([name for name in tables if name in requested], keys)
+    for at, table in enumerate(order):
         own = key_of(table)
         asked = requested[table].select(F.col(own).alias("key")).filter("key IS NOT NULL").distinct()
-        stored = tables[table].select(F.col(own).alias("key")).join(asked, "key", "left_semi")
-        told.append(_outcome(table, asked.join(stored, "key", "left_anti"), "unknown"))
-        present = left[table].select(F.col(own).alias("key")).join(asked, "key", "left_semi").distinct()
-        judged = materialise(present.join(held_back(left, table, present, keys), "key", "left"))
-        told.append(_outcome(table, judged.filter("cause IS NOT NULL"), "refused"))
-        told += _drop(left, table, judged.filter("cause IS NULL").select("key"), None, keys)
+        held_by = lambda rows: rows.select(F.col(own).alias("key")).join(asked, "key", "left_semi").distinct()  # noqa: B023, E731
+        marked = asked.join(held_by(tables[table]).withColumn("known", F.lit(True)), "key", "left")
+        if seen[table] is tables[table]:
+            marked = marked.withColumn("present", F.col("known"))
+        else:
+            marked = marked.join(held_by(seen[table]).withColumn("present", F.lit(True)), "key", "left")
+        marked = stored(marked, "asked-keys")
+        told.append(_outcome(table, marked.filter("known IS NULL"), "unknown"))
+        gone = present = marked.filter("present").select("key")
+        if _holding(seen, table, keys):
+            judged = stored(present.join(held_back(seen, table, present, keys), "key", "left"), "judged-keys")
+            told.append(_outcome(table, judged.filter("cause IS NOT NULL"), "refused"))
+            gone = judged.filter("cause IS NULL").select("key")
+        before = dict(seen)
+        told += _drop(left, seen, table, gone, None, keys)
+        for name in _looked_at(seen, order[at + 1 :], keys):
+            if seen[name] is not before[name]:
+                used = {key_of(name)} | {k.column for k in keys if k.child == name}
+                seen[name] = stored(seen[name].select(*[c for c in seen[name].columns if c in used]), "kept-keys")
     return Changed(left, reduce(DataFrame.unionByName, told))
 
 

@@ -111,3 +111,16 @@ def test_renames_reach_every_child(spark, shop):
     for name in ("transactions", "demand_forecast", "inventory_log"):
         before, after = rows_of(shop[name], "product_id"), rows_of(found.tables[name], "product_id")
         assert sorted(after) == sorted(10 if p == 1 else p for p in before), name
+
+
+def test_what_became_of_keys_is_told_from_stored_keys(spark, shop):
+    """No table is joined again to tell the outcomes, and a restricting child's rows don't move to be looked at."""
+    requested = {"transactions": shop["transactions"].filter("quantity < 20"), "customers": shop["customers"], "products": shop["products"]}
+    found = key_graph.delete_keys(shop, requested)
+    assert "Join" not in found.outcomes._jdf.queryExecution().optimizedPlan().toString()
+    rows = {name: [r.asDict() for r in df.collect()] for name, df in shop.items()}
+    sets = {name: set(rows_of(df, key_graph.key_of(name))) for name, df in requested.items()}
+    assert set(rows_of(found.outcomes)) == by_hand(rows, sets)[1]
+    held = key_graph.held_back(shop, "customers", shop["customers"].selectExpr("customer_id AS key"))
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan[plan.index("LeftSemi") :]
