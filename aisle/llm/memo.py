@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -48,3 +48,30 @@ class Memo(dict):
             part = new[start : start + step]
             self.update(zip(part, values(part), strict=True))
         self.held += size
+
+
+class Recalled(dict):
+    """Values by key, each made by ``make`` when it is first asked for by ``[]``.
+
+    Keys are kept in two generations of about ``most`` each: after :meth:`age` has begun a new one, keys asked for
+    again are taken over from the one before and the others are forgotten with it. So common keys stay.
+    """
+
+    def __init__(self, make: Callable[[Hashable], Any], most: int):
+        super().__init__()
+        self.make = make
+        self.most = most
+        self.before: dict = {}
+
+    def __missing__(self, key: Hashable) -> Any:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def age(self) -> None:
+        """Begin a new generation once this one is full."""
+        if len(self) > self.most:
+            self.before = dict(self)
+            self.clear()

@@ -29,12 +29,13 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from aisle.llm.bpe import LETTERS, is_simple
 from aisle.llm.common import stored, text_of
-from aisle.llm.memo import slices_by_size
+from aisle.llm.memo import Recalled, slices_by_size
 
 CAPACITY = 2048
 END = 0
 VOCABULARY = "word_bpe_49k.json"
-REMEMBERED = 200_000  # words whose ids a worker keeps
+REMEMBERED = 150_000  # words whose ids a worker keeps, in each of two generations
+SIGNS = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""  # of simple texts
 SLICE_BYTES = 1_000_000  # texts of so many bytes, or one longer text, are encoded at a time
 
 
@@ -42,9 +43,10 @@ class WordTokens:
     """Ids of whole texts, looked up word by word.
 
     The tokenizer never merges across white space, and a word's letters, digits and signs are merged apart. So
-    words are kept with their ids, and a new word of a simple text is put together from its parts. Words of
-    other texts go through the tokenizer's own normalisation. Added tokens such as <|endoftext|> are found in the
-    raw text first, as the library does, and what stands between them is encoded by itself.
+    words are kept with their ids, and a new word of a simple text is put together from its parts, which are
+    words themselves. Words of other texts go through the tokenizer's own normalisation. Added tokens such as
+    <|endoftext|> are found in the raw text first, as the library does, and what stands between them is encoded by
+    itself.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -63,36 +65,23 @@ class WordTokens:
         self.shown = {}
         for two in (chr(c) for c in range(0x80, 0x800)):
             self.shown |= zip(two.encode(), write(two)[0][0], strict=True)
+        self.as_bytes = [number.to_bytes(4, "little") for number in range(1 + max(self.tokenizer.get_vocab().values()))]
         self.remembered = remembered
-        self.known: dict[bytes, bytes] = {}
-        self.known_parts: dict[str, bytes] = {}
+        self.known = Recalled(self._simple_word, remembered)
         self.raw: dict[bytes, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
-        ids = self.known_parts.get(part)
-        if ids is None:
-            text = part if part.isascii() else part.encode().decode("latin-1").translate(self.shown)
-            tokens = self.tokenizer.model.tokenize(text)
-            ids = b"".join([x.id.to_bytes(4, "little") for x in tokens])
-            self.known_parts[part] = ids
-        return ids
+    def _simple_word(self, word: bytes) -> bytes:
+        letters = word.rstrip(SIGNS)
+        if not (letters.isalpha() or letters.decode().isalpha()):
+            parts = [part.encode() for part in self.parts.findall(word.decode())]
+            return self._part(word) if len(parts) == 1 else b"".join(map(self.known.__getitem__, parts))
+        if len(letters) == len(word):
+            return self._part(word)
+        return self.known[letters] + self.known[word[len(letters) :]]  # signs after a word are one part
 
-    def _look_up(self, known: dict, cut: list[list[bytes]], learn) -> list[bytes]:
-        wanted = set(chain.from_iterable(cut))
-        new = wanted - known.keys()
-        if len(known) + len(new) > self.remembered:
-            known.clear()
-            new = wanted
-        if new:
-            learn(list(new))
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
-
-    def _learn_simple(self, new: list[bytes]) -> None:
-        if len(self.known_parts) > self.remembered:
-            self.known_parts.clear()
-        for word in new:
-            self.known[word] = b"".join(map(self._part, self.parts.findall(word.decode())))
+    def _part(self, part: bytes) -> bytes:
+        shown = part.decode() if part.isascii() else part.decode("latin-1").translate(self.shown)
+        return b"".join([self.as_bytes[x.id] for x in self.tokenizer.model.tokenize(shown)])
 
     def _learn_any(self, new: list[bytes]) -> None:
         found = self.tokenizer.encode_batch_fast([word.decode() for word in new], add_special_tokens=False)
@@ -107,13 +96,27 @@ class WordTokens:
         plain = iter(self._encode_plain([part for parts in cut for part in parts[::2]]))
         return [b"".join(self.added[part] if i % 2 else next(plain) for i, part in enumerate(parts)) for parts in cut]
 
+    def _encode_simple(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, text.lower().encode().split()))
+
+    def _encode_other(self, texts: list[str]) -> list[bytes]:
+        cut = [text.encode().split() for text in texts]
+        wanted = set(chain.from_iterable(cut))
+        new = wanted.difference(self.raw)
+        if len(self.raw) + len(new) > self.remembered:
+            self.raw.clear()
+            new = wanted
+        if new:
+            self._learn_any(list(new))
+        return [b"".join(map(self.raw.__getitem__, words)) for words in cut]
+
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        self.known.age()
         simple = [is_simple(text) for text in texts]
-        lower = [text.lower().encode().split() for text, ok in zip(texts, simple, strict=True) if ok]
-        other = [text.encode().split() for text, ok in zip(texts, simple, strict=True) if not ok]
-        from_simple = iter(self._look_up(self.known, lower, self._learn_simple))
-        from_other = iter(self._look_up(self.raw, other, self._learn_any))
-        return [next(from_simple if ok else from_other) for ok in simple]
+        from_other = iter(self._encode_other([text for text, ok in zip(texts, simple, strict=True) if not ok]))
+        return [
+            self._encode_simple(text) if ok else next(from_other) for text, ok in zip(texts, simple, strict=True)
+        ]
 
 
 @lru_cache(maxsize=2)

@@ -72,6 +72,27 @@ def test_pieces_are_the_library_ids_cut_at_the_capacity(spark):
         assert [(r["piece"], r["start"], r["length"]) for r in mine] == [(j, 2048 * j, len(c)) for j, c in enumerate(cut)]
 
 
+def test_common_words_are_merged_once_however_many_rare_ones_pass_by():
+    from tokenizers import Tokenizer
+
+    merged = Counter()
+
+    class Counted(packing.WordTokens):
+        def _part(self, part):
+            merged[part if isinstance(part, str) else part.decode()] += 1
+            return super()._part(part)
+
+    library, words = Tokenizer.from_file(WORD_PATH), Counted(WORD_PATH, remembered=40)
+    common = [f"common{c}" for c in "abcdefghij"]
+    for i in range(60):
+        rare = ["".join(random.Random(100 * i + k).choices("abcdefghé", k=12)) + random.Random(k).choice(["", ".", "'s.", "7%"]) for k in range(15)]
+        text = " ".join([*common, *rare, *common, "it's", "(IT'S)", "''s"])
+        ids = np.frombuffer(words.encode([text])[0], "<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
+    assert {merged[word] for word in common} == {1}
+    assert len(words.known) + len(words.known.before) < 250
+
+
 def plain_best_fit(lengths, capacity):
     gaps = []
     for length in sorted(lengths, reverse=True):
