@@ -119,7 +119,8 @@ def with_labels(rows: DataFrame, labels: DataFrame, divisor: int, left_out: int)
     """
     usable = F.col("quality").isin(0, 1) & (remainder(divisor) != left_out)
     told = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.when(usable, F.col("quality").cast("int"))).alias("quality"))
-    told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("told", F.lit(True))
+    # merged at every size: from packed files and without the salts the planner takes this for small, and the driver would broadcast it
+    told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("told", F.lit(True)).hint("merge")
     # a null id has no label; given a value by task it does not gather all rows without an id in one
     salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     named = salted.filter("doc_id IS NOT NULL").join(told, ["doc_id", "salt"], "left")

@@ -328,6 +328,25 @@ def test_quality_defines_odd_rows(spark):
     assert none == {1.0}
 
 
+def test_quality_never_sends_all_labels_to_the_driver(spark, tmp_path):
+    docs = [(i, i) for i in range(200)] + [(7, 200), (7, 201), (None, 202)]
+    given = [(i, q) for i in range(0, 200, 2) for q in (0, i % 4 // 2)] + [(5, 3), (6, None), (None, 1)]
+    spark.createDataFrame(given, "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels"))
+    labels = spark.read.parquet(str(tmp_path / "labels"))  # files so small that the planner would broadcast them
+    held = quality.with_labels(spark.createDataFrame(docs, "doc_id bigint, row int"), labels, 4, 2)
+    found = {r["row"]: (r["quality"], r["part"]) for r in rows(held)}
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert len(found) == len(docs)
+    for i, row in docs:
+        if i is None or i % 2 and i != 5:
+            assert found[row] == (None, "free")
+        elif i == 5 or held_out(i, 4, 2):
+            assert found[row] == (None, "out")
+        else:
+            assert found[row][0] == i % 4 // 2 and found[row][1] in ("fit", "join")
+
+
 @pytest.mark.skipif(not DATA.is_dir(), reason="the documents are not here")
 def test_classifiers_on_the_given_documents(spark):
     docs, labels = (spark.read.parquet(str(DATA / f"{name}.parquet")) for name in ("documents", "labels"))
